@@ -4,13 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.llm.bpe import decode, encode
+from weftline.llm.prob_minhash import near_duplicates
 from weftline.llm.run_length_index import remove_repeats
 from weftline.sources import read_table
 
 
+def op3_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of near-duplicates of every document; the document that gives the class its id is kept."""
+    classes = near_duplicates(read_table(spark, sf_dir, "documents"))
+    return classes.withColumn("kept", F.col("doc_id") == F.col("class_id"))
+
+
 def op9_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of 200-byte strings that start anywhere else, removed from every document."""
     cleaned = remove_repeats(read_table(spark, sf_dir, "documents"))
@@ -24,8 +33,19 @@ def op9_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every text, and what they decode to."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = decode(encode(read_table(spark, sf_dir, "documents"), path), path)
+    return encoded.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_prob_minhash": op3_prob_minhash,
     "op9_run_length_index": op9_run_length_index,
+    "op10_bpe": op10_bpe,
 }
 
 ORACLES: dict[str, str] = {}

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POWERS: dict[str, np.ndarray] = {}
 
@@ -22,7 +22,7 @@ def _byte_codes() -> np.ndarray:
 
 def mix(values: np.ndarray) -> np.ndarray:
     """Scramble 64-bit values so that close inputs give unrelated outputs (the splitmix64 finaliser)."""
-    z = values.astype(np.uint64, copy=True)
+    z = np.array(values, np.uint64, ndmin=1)
     z ^= z >> np.uint64(30)
     z *= np.uint64(0xBF58476D1CE4E5B9)
     z ^= z >> np.uint64(27)
@@ -76,6 +76,17 @@ def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mix(values ^ mix((ends - starts).astype(np.uint64)))
 
 
+def rolling_hashes(codes: np.ndarray, size: int) -> np.ndarray:
+    """``span_hashes`` of every run of ``size`` bytes."""
+    up, down = _powers(len(codes) + 1)
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(codes * up[: len(codes)], out=sums[1:])
+    values = sums[size:] - sums[:-size]
+    values *= down[: len(values)]
+    values ^= mix(np.array([size], np.uint64))
+    return mix(values)
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of each word, and the index of the first word of each text (one more at the end).
 
