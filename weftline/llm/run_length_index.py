@@ -14,19 +14,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.spill import stored
-from weftline.llm.textarrays import BYTE_CODES, chunks, mix, ranges, span_hashes, text_bytes, window_minima
+from weftline.llm.textarrays import BYTE_CODES, chunks, mix, ranges, rolling_hashes, span_hashes, text_bytes, window_minima
 
 LENGTH = 200
 SEED = 32
 #: Keys with more distinct segments than this are split further, by the hash of each whole string.
 KEY_SEGMENTS = 2000
 #: Bytes of segments that one index is built over; the segments of a key stay together.
-INDEX_BYTES = 1 << 21
+INDEX_BYTES = 1 << 20
+_OTHER_CODES = mix(BYTE_CODES)
 
 _SEGMENTS = "doc_id bigint, start bigint, size bigint, key bigint, content bigint, tied boolean"
 
@@ -43,19 +43,23 @@ def segments(
         none = np.zeros(0, np.int64)
         return none, none, none, none.astype(np.uint64), none.astype(bool)
     window = length - seed + 1
-    every = np.arange(len(data) - seed + 1)
-    seeds = span_hashes(BYTE_CODES[data], every, every + seed)
+    seeds = rolling_hashes(BYTE_CODES[data], seed)
     keys = window_minima(seeds, window)
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(keys)]
-    inside = every[: len(keys)] + length <= offsets[1:][text]
+    inside = np.arange(length, length + len(keys)) <= offsets[1:][text]
     new = np.ones(len(keys), bool)
     new[1:] = (keys[1:] != keys[:-1]) | (text[1:] != text[:-1]) | (inside[1:] != inside[:-1])
     heads = np.flatnonzero(new)
     strings = np.diff(np.append(heads, len(keys)))
     heads, strings = heads[inside[heads]], strings[inside[heads]]
-    run, place = ranges(strings + window - 1)
-    hits = seeds[heads[run] + place] == keys[heads][run]
-    tied = np.add.reduceat(hits, np.cumsum(strings + window - 1) - strings - window + 1, dtype=np.int64) > 1 if len(heads) else np.zeros(0, bool)
+    # A seed is the key of a string around it exactly if it is the largest key around it.
+    edge = np.zeros(window - 1, np.uint64)
+    largest = ~window_minima(~np.concatenate([edge, keys, edge]), window)
+    anchors = np.flatnonzero(largest == seeds)
+    low = np.searchsorted(anchors, heads)
+    run, place = ranges(np.searchsorted(anchors, heads + strings + window - 1) - low)
+    hits = seeds[anchors[low[run] + place]] == keys[heads][run]
+    tied = np.bincount(run[hits], minlength=len(heads)) > 1
     return text[heads], heads, strings + length - 1, keys[heads], tied
 
 
@@ -65,15 +69,14 @@ def _segment_rows(length: int, seed: int):
             for part in chunks(batch, "text"):
                 data, offsets = text_bytes(part.column("text"))
                 text, start, size, key, tied = segments(data, offsets, length, seed)
-                view = memoryview(data)
-                content = [xxhash.xxh3_64_intdigest(view[a : a + n]) for a, n in zip(start.tolist(), size.tolist())]
+                content = span_hashes(_OTHER_CODES[data], start, start + size)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id").take(pa.array(text)),
                         pa.array(start - offsets[text]),
                         pa.array(size),
                         pa.array(key.view(np.int64)),
-                        pa.array(np.array(content, np.uint64).view(np.int64)),
+                        pa.array(content.view(np.int64)),
                         pa.array(tied),
                     ],
                     ["doc_id", "start", "size", "key", "content", "tied"],
@@ -234,7 +237,7 @@ def _strings(length: int):
                 segment, at = ranges(sizes)
                 whole = offsets[segment] + at
                 high = span_hashes(BYTE_CODES[data], whole, whole + length)
-                low = span_hashes(mix(BYTE_CODES)[data], whole, whole + length)
+                low = span_hashes(_OTHER_CODES[data], whole, whole + length)
                 take = pa.array(segment)
                 yield pa.RecordBatch.from_arrays(
                     [
