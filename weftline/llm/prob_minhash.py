@@ -56,7 +56,7 @@ def signatures(text: np.ndarray, shingle: np.ndarray, weight: np.ndarray, texts:
     step = np.zeros(1, np.uint64)
     while len(text):
         step += _STEP
-        draw = mix(shingle + step)
+        draw = mix(shingle ^ mix(step))
         time = time - np.log(((draw >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53) / rate
         early = time < limit[text]
         text, shingle, rate, time, draw = text[early], shingle[early], rate[early], time[early], draw[early]

@@ -3,23 +3,47 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.llm import line_quality as lines
+from weftline.llm import warc
+from weftline.llm.best_fit import packed
 from weftline.llm.bpe import decode, encode
 from weftline.llm.prob_minhash import near_duplicates
 from weftline.llm.run_length_index import remove_repeats
+from weftline.llm.spill import shared_folder
 from weftline.sources import read_table
 
 
+def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures of every document, and whether line-first cleaning keeps it."""
+    judged = lines.line_quality(read_table(spark, sf_dir, "documents"))
+    return judged.select("row.doc_id", "quality.*").drop("cleaned")
+
+
 def op3_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of near-duplicates of every document; the document that gives the class its id is kept."""
     classes = near_duplicates(read_table(spark, sf_dir, "documents"))
     return classes.withColumn("kept", F.col("doc_id") == F.col("class_id"))
 
 
+def op6_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token pieces of every document, packed into sequences of at most 1024 tokens."""
+    return packed(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page from the normalised WARC archives that it was written to."""
+    folder = f"{shared_folder(spark).rstrip('/')}/warc-{uuid4().hex}"
+    written = warc.write_archives(read_table(spark, sf_dir, "pages"), f"{folder}/written")
+    normal = warc.normalise(written, f"{folder}/written", f"{folder}/normal")
+    return warc.read_records(warc.index(normal, f"{folder}/normal"), f"{folder}/normal").drop("payload")
+
+
 def op9_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of 200-byte strings that start anywhere else, removed from every document."""
     cleaned = remove_repeats(read_table(spark, sf_dir, "documents"))
@@ -43,9 +67,14 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_line_quality": op2_line_quality,
     "op3_prob_minhash": op3_prob_minhash,
+    "op6_best_fit": op6_best_fit,
+    "op7_warc": op7_warc,
     "op9_run_length_index": op9_run_length_index,
     "op10_bpe": op10_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_line_quality": lines.SQL,
+}
