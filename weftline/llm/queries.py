@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import line_quality as lines
-from weftline.llm import warc
+from weftline.llm import url_filter, warc
 from weftline.llm.best_fit import packed
 from weftline.llm.bpe import decode, encode
 from weftline.llm.prob_minhash import near_duplicates
@@ -19,6 +19,11 @@ from weftline.llm.spill import shared_folder
 from weftline.sources import read_table
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's url."""
+    return url_filter.judge(read_table(spark, sf_dir, "pages"), url_filter.labelled_urls(spark))
+
+
 def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures of every document, and whether line-first cleaning keeps it."""
     judged = lines.line_quality(read_table(spark, sf_dir, "documents"))
@@ -67,6 +72,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
     "op2_line_quality": op2_line_quality,
     "op3_prob_minhash": op3_prob_minhash,
     "op6_best_fit": op6_best_fit,
@@ -76,5 +82,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_url_filter": url_filter.oracle(),
     "op2_line_quality": lines.SQL,
 }
