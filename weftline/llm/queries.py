@@ -13,6 +13,7 @@ from weftline.llm import line_quality as lines
 from weftline.llm import url_filter, warc
 from weftline.llm.best_fit import packed
 from weftline.llm.bpe import decode, encode
+from weftline.llm.iblt import fingerprints
 from weftline.llm.prob_minhash import near_duplicates
 from weftline.llm.run_length_index import remove_repeats
 from weftline.llm.spill import shared_folder
@@ -36,6 +37,11 @@ def op3_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.withColumn("kept", F.col("doc_id") == F.col("class_id"))
 
 
+def op4_iblt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document and of its edited text, and how alike they are."""
+    return fingerprints(read_table(spark, sf_dir, "documents"))
+
+
 def op6_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token pieces of every document, packed into sequences of at most 1024 tokens."""
     return packed(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -75,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_line_quality": op2_line_quality,
     "op3_prob_minhash": op3_prob_minhash,
+    "op4_iblt": op4_iblt,
     "op6_best_fit": op6_best_fit,
     "op7_warc": op7_warc,
     "op9_run_length_index": op9_run_length_index,
