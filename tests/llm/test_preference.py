@@ -1,0 +1,55 @@
+"""Preference pairs against plain Python."""
+
+import random
+
+import pytest
+
+from weftline.llm.preference import format_preferences, pairs_by_first_turn
+
+
+def plain(chosen, rejected):
+    n = 0
+    while n < min(len(chosen), len(rejected)) and chosen[n] == rejected[n]:
+        n += 1
+
+    def side(turns):
+        text, spans = "", []
+        for role, words in turns:
+            text += f"<|{role}|>\n{words}\n"
+            if role == "assistant":
+                spans.append((len(text) - len(words) - 1, len(text)))
+        return text, spans
+
+    (prompt, _), (a, x), (b, y) = side(chosen[:n]), side(chosen[n:]), side(rejected[n:])
+    return n, prompt, a, b, x, y
+
+
+@pytest.mark.parametrize("salt_rows", [1000, 2])
+def test_matches_plain_version(spark, salt_rows):
+    rng = random.Random(salt_rows)
+    talks = {}
+    for i in range(60):
+        start = [("system", "be né")] * rng.randint(0, 1) + [("user", rng.choice(["hi", "", "long " * 5000]))]
+        talks[i] = start + [(rng.choice(["assistant", "user"]), rng.choice(["yes", "no", "漢"])) for _ in range(rng.randint(0, 4))]
+    rows = [(i, k, role, text, "x", 3) for i, talk in talks.items() for k, (role, text) in enumerate(talk)]
+    rng.shuffle(rows)
+    frame = spark.createDataFrame(rows + rows[:5] + [(None, 0, "user", "hi", "x", 3)], "conv_id bigint, turn bigint, role string, text string, prompt string, n int")
+    groups = {}
+    for i, talk in talks.items():
+        groups.setdefault(talk[0], []).append(i)
+    expected = {i: plain(talks[g[0]], talks[i]) for g in groups.values() for i in g[1:]}
+    got = format_preferences(pairs_by_first_turn(frame, salt_rows)).collect()
+    spans = lambda x: [(s["from"], s["to"]) for s in x]
+    assert len(got) == len(expected)
+    assert {r.pair_id: (r.n_prompt_turns, r.prompt, r.chosen, r.rejected, spans(r.chosen_loss), spans(r.rejected_loss)) for r in got} == expected
+
+
+def test_empty_and_null(spark):
+    schema = "conv_id bigint, turn bigint, role string, text string"
+    assert format_preferences(pairs_by_first_turn(spark.createDataFrame([], schema))).collect() == []
+    rows = [(1, 0, None, None), (2, 0, None, None), (2, None, "user", "x")]
+    assert format_preferences(pairs_by_first_turn(spark.createDataFrame(rows, schema))).collect() == []
+    turns = "array<struct<turn:bigint,role:string,text:string>>"
+    pairs = spark.createDataFrame([(None, None, [(0, "user", "a")]), (1, [(0, "user", "a")], [(5, "user", "a")])], f"pair_id bigint, chosen {turns}, rejected {turns}")
+    got = {r.pair_id: (r.n_prompt_turns, r.prompt, r.chosen, r.rejected) for r in format_preferences(pairs).collect()}
+    assert got == {None: (0, "", "", "<|user|>\na\n"), 1: (1, "<|user|>\na\n", "", "")}

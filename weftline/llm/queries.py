@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import line_quality as lines
-from weftline.llm import url_filter, warc
+from weftline.llm import preference, url_filter, warc
 from weftline.llm.best_fit import packed
 from weftline.llm.bpe import decode, encode
 from weftline.llm.iblt import fingerprints
@@ -55,6 +55,13 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_records(warc.index(normal, f"{folder}/normal"), f"{folder}/normal").drop("payload")
 
 
+def op8_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Preference pairs of the conversations that begin with the same turn; the loss spans as text."""
+    pairs = preference.pairs_by_first_turn(read_table(spark, sf_dir, "conversations"))
+    spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["from"], s["to"])), " ")
+    return preference.format_preferences(pairs).withColumns({c: spans(c) for c in ("chosen_loss", "rejected_loss")})
+
+
 def op9_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of 200-byte strings that start anywhere else, removed from every document."""
     cleaned = remove_repeats(read_table(spark, sf_dir, "documents"))
@@ -84,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_iblt": op4_iblt,
     "op6_best_fit": op6_best_fit,
     "op7_warc": op7_warc,
+    "op8_preference": op8_preference,
     "op9_run_length_index": op9_run_length_index,
     "op10_bpe": op10_bpe,
 }
@@ -91,4 +99,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_url_filter": url_filter.oracle(),
     "op2_line_quality": lines.SQL,
+    "op8_preference": preference.SQL,
 }

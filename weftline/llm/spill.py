@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -22,3 +23,12 @@ def stored(frame: DataFrame) -> DataFrame:
     """``frame`` computed once and written to the shared folder, so that no lost executor can lose it."""
     shared_folder(frame.sparkSession)
     return frame.checkpoint()
+
+
+def splittable(grouped: DataFrame, key: str) -> DataFrame:
+    """``grouped``, the result of a grouping by the integer ``key``, to be joined on it to rows with hot keys.
+
+    Adaptive execution splits a hot key only where both sides are shuffled for the join. A grouping by the
+    key is not, unless the key is a new expression.
+    """
+    return grouped.withColumn(key, F.shiftleft(key, 0))

@@ -79,12 +79,10 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RUL
 def buckets_of(host: Column, path: Column, size: int = BUCKETS) -> Column:
     """Bucket of each character n-gram of host and path, which stand apart, with a mark at each end."""
     text = F.concat(F.lit("^"), host, F.lit(" "), path, F.lit("$"))
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - GRAM + 1, F.lit(1)))
     codes = F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("bigint"))
-    return F.transform(
-        F.slice(codes, 1, F.size(starts)),
-        lambda c, i: ((c * 131 + F.get(codes, i + 1)) * 131 + F.get(codes, i + 2)) % size,
-    )
+    pairs = F.zip_with(codes, F.slice(codes, F.lit(2), F.length(text)), lambda a, b: a * 131 + b)
+    grams = F.zip_with(pairs, F.slice(codes, F.lit(3), F.length(text)), lambda ab, c: (ab * 131 + c) % size)
+    return F.slice(grams, F.lit(1), F.length(text) - GRAM + 1)
 
 
 def train(labelled: DataFrame, size: int = BUCKETS, most: int = MAX_LABELLED) -> DataFrame:
