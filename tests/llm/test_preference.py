@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from weftline.llm.preference import format_preferences, pairs_by_first_turn
+from weftline.llm.preference import format_preferences, pairs_by_first_turn, pairs_with_cut_reply
 
 
 def plain(chosen, rejected):
@@ -39,6 +39,9 @@ def test_matches_plain_version(spark, salt_rows):
         groups.setdefault(talk[0], []).append(i)
     expected = {i: plain(talks[g[0]], talks[i]) for g in groups.values() for i in g[1:]}
     got = format_preferences(pairs_by_first_turn(frame, salt_rows)).collect()
+    cut = {i: plain(talk, [*talk[:-1], (talk[-1][0], talk[-1][1][: len(talk[-1][1]) // 2])]) for i, talk in talks.items()}
+    rows = format_preferences(pairs_with_cut_reply(frame)).collect()
+    assert len(rows) == len(cut) and {r.pair_id: (r.n_prompt_turns, r.prompt, r.chosen, r.rejected) for r in rows} == {i: x[:4] for i, x in cut.items()}
     spans = lambda x: [(s["from"], s["to"]) for s in x]
     assert len(got) == len(expected)
     assert {r.pair_id: (r.n_prompt_turns, r.prompt, r.chosen, r.rejected, spans(r.chosen_loss), spans(r.rejected_loss)) for r in got} == expected
@@ -50,6 +53,6 @@ def test_empty_and_null(spark):
     rows = [(1, 0, None, None), (2, 0, None, None), (2, None, "user", "x")]
     assert format_preferences(pairs_by_first_turn(spark.createDataFrame(rows, schema))).collect() == []
     turns = "array<struct<turn:bigint,role:string,text:string>>"
-    pairs = spark.createDataFrame([(None, None, [(0, "user", "a")]), (1, [(0, "user", "a")], [(5, "user", "a")])], f"pair_id bigint, chosen {turns}, rejected {turns}")
+    pairs = spark.createDataFrame([(None, None, None, [(0, "user", "a")]), (1, 1, [(0, "user", "a")], [(5, "user", "a")])], f"pair_id bigint, chosen_id bigint, chosen {turns}, rejected {turns}")
     got = {r.pair_id: (r.n_prompt_turns, r.prompt, r.chosen, r.rejected) for r in format_preferences(pairs).collect()}
     assert got == {None: (0, "", "", "<|user|>\na\n"), 1: (1, "<|user|>\na\n", "", "")}

@@ -42,22 +42,23 @@ def loss_spans(turns: Column) -> Column:
 
 
 def format_preferences(pairs: DataFrame) -> DataFrame:
-    """Prompt and completions of ``pairs`` (pair_id, chosen, rejected), the last two arrays of turns.
+    """Prompt and completions of ``pairs`` (pair_id, chosen_id, chosen, rejected), the last two arrays of turns.
 
-    (pair_id, n_prompt_turns, prompt, chosen, rejected, chosen_loss, rejected_loss). The prompt is the longest common
+    (pair_id, chosen_id, n_prompt_turns, prompt, chosen, rejected, chosen_loss, rejected_loss). The prompt is the longest common
     start, by role and text; it is rendered once and counts for no loss. A completion is what follows; of it, the
     spans of characters in the loss columns count. Equal conversations have two empty completions, and
     a null or empty conversation has no turn. Repeated rows and null ids are formatted like any other.
     """
     none = F.array().cast("array<struct<turn:bigint,role:string,text:string>>")
-    pairs = pairs.select("pair_id", F.coalesce("chosen", none).alias("c"), F.coalesce("rejected", none).alias("r"))
+    pairs = pairs.select("pair_id", "chosen_id", F.coalesce("chosen", none).alias("c"), F.coalesce("rejected", none).alias("r"))
     same = F.zip_with("c", "r", lambda a, b: F.coalesce((a["role"] == b["role"]) & (a["text"] == b["text"]), F.lit(False)))
     first = F.array_position(same, False).cast("int")
     pairs = pairs.withColumn("n", F.when(first > 0, first - 1).otherwise(F.size("c")))
     rest = lambda side: F.slice(side, F.col("n") + 1, F.size(side))
-    pairs = pairs.select("pair_id", "n", F.slice("c", F.lit(1), F.col("n")).alias("start"), rest("c").alias("c"), rest("r").alias("r"))
+    pairs = pairs.select("pair_id", "chosen_id", "n", F.slice("c", F.lit(1), F.col("n")).alias("start"), rest("c").alias("c"), rest("r").alias("r"))
     return pairs.select(
         "pair_id",
+        "chosen_id",
         F.col("n").alias("n_prompt_turns"),
         render(F.col("start")).alias("prompt"),
         render(F.col("c")).alias("chosen"),
@@ -88,6 +89,19 @@ def pairs_by_first_turn(conversations: DataFrame, salt_rows: int = SALT_ROWS) ->
     return rejected.join(chosen, ["chosen_id", "salt"]).select(F.col("conv_id").alias("pair_id"), "chosen_id", "chosen", "rejected")
 
 
+def pairs_with_cut_reply(conversations: DataFrame) -> DataFrame:
+    """Each conversation chosen over itself with its last turn cut to half its characters.
+
+    (pair_id, chosen_id, chosen, rejected), both ids its conv_id. Rows with a null conv_id are left out.
+    """
+    turns = turns_of(conversations.filter("conv_id IS NOT NULL"), "conv_id")
+    last = F.element_at("turns", -1)
+    half = F.substring(last["text"], F.lit(1), F.floor(F.length(last["text"]) / 2).cast("int"))
+    cut = F.struct(last["turn"].alias("turn"), last["role"].alias("role"), half.alias("text"))
+    rejected = F.concat(F.slice("turns", F.lit(1), F.size("turns") - 1), F.array(cut))
+    return turns.select(F.col("conv_id").alias("pair_id"), F.col("conv_id").alias("chosen_id"), F.col("turns").alias("chosen"), rejected.alias("rejected"))
+
+
 SQL = """
     WITH turns AS (
         SELECT conv_id, list(struct_pack(turn := turn, role := role, text := text) ORDER BY turn, role, text) AS turns
@@ -96,15 +110,21 @@ SQL = """
     ), grouped AS (
         SELECT conv_id, turns, min(conv_id) OVER (PARTITION BY turns[1].role, turns[1].text) AS chosen_id FROM turns
     ), pairs AS (
-        SELECT r.conv_id AS pair_id, c.turns AS c, r.turns AS r,
+        SELECT r.conv_id AS pair_id, r.chosen_id, c.turns AS c, r.turns AS r,
                len(list_filter(range(1, least(len(c.turns), len(r.turns)) + 1),
                    lambda i: list_transform(c.turns[1:i], lambda t: struct_pack(a := t.role, b := t.text))
                              = list_transform(r.turns[1:i], lambda t: struct_pack(a := t.role, b := t.text)))) AS n
-        FROM grouped AS r JOIN turns AS c ON r.chosen_id = c.conv_id WHERE r.conv_id <> c.conv_id
+        FROM (
+            SELECT * FROM grouped WHERE conv_id <> chosen_id
+            UNION ALL
+            SELECT conv_id, turns[1:len(turns) - 1] || [struct_pack(turn := turns[-1].turn, role := turns[-1].role,
+                                                                     text := left(turns[-1].text, length(turns[-1].text) // 2))],
+                   conv_id AS chosen_id FROM turns
+        ) AS r JOIN turns AS c ON r.chosen_id = c.conv_id
     ), parts AS (
-        SELECT pair_id, n, c[1:n] AS p, c[n + 1:] AS c, r[n + 1:] AS r FROM pairs
+        SELECT pair_id, chosen_id, n, c[1:n] AS p, c[n + 1:] AS c, r[n + 1:] AS r FROM pairs
     )
-    SELECT pair_id, n::INTEGER AS n_prompt_turns,
+    SELECT pair_id, chosen_id, n::INTEGER AS n_prompt_turns,
            array_to_string(list_transform(p, lambda t: '<|' || t.role || '|>' || chr(10) || t.text || chr(10)), '') AS prompt,
            array_to_string(list_transform(c, lambda t: '<|' || t.role || '|>' || chr(10) || t.text || chr(10)), '') AS chosen,
            array_to_string(list_transform(r, lambda t: '<|' || t.role || '|>' || chr(10) || t.text || chr(10)), '') AS rejected,

@@ -56,8 +56,9 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Preference pairs of the conversations that begin with the same turn; the loss spans as text."""
-    pairs = preference.pairs_by_first_turn(read_table(spark, sf_dir, "conversations"))
+    """Preference pairs of conversations with the same first turn, and of each with its last reply cut; loss spans as text."""
+    conversations = read_table(spark, sf_dir, "conversations")
+    pairs = preference.pairs_by_first_turn(conversations).unionByName(preference.pairs_with_cut_reply(conversations))
     spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["from"], s["to"])), " ")
     return preference.format_preferences(pairs).withColumns({c: spans(c) for c in ("chosen_loss", "rejected_loss")})
 
