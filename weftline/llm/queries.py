@@ -13,6 +13,7 @@ from weftline.llm import line_quality as lines
 from weftline.llm import preference, url_filter, warc
 from weftline.llm.best_fit import packed
 from weftline.llm.bpe import decode, encode
+from weftline.llm.chaining import shared_passages
 from weftline.llm.iblt import fingerprints
 from weftline.llm.prob_minhash import near_duplicates
 from weftline.llm.run_length_index import remove_repeats
@@ -42,6 +43,19 @@ def op4_iblt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(read_table(spark, sf_dir, "documents"))
 
 
+def op5_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that every document shares with earlier ones, and what is left without them."""
+    found = shared_passages(read_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "found.n_words",
+        F.size("found.passages").cast("bigint").alias("n_passages"),
+        "found.n_removed",
+        F.col("found.partners").alias("partner_ids"),
+        F.sha2(F.col("found.text").cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
 def op6_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token pieces of every document, packed into sequences of at most 1024 tokens."""
     return packed(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -90,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_quality": op2_line_quality,
     "op3_prob_minhash": op3_prob_minhash,
     "op4_iblt": op4_iblt,
+    "op5_chaining": op5_chaining,
     "op6_best_fit": op6_best_fit,
     "op7_warc": op7_warc,
     "op8_preference": op8_preference,
