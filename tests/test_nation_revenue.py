@@ -5,6 +5,7 @@ from decimal import Decimal
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.errors import PySparkException
 
 from weftline.plans.nation_revenue import nation_revenue
 
@@ -84,6 +85,28 @@ def test_extreme_amounts_stay_exact(spark, conf, broadcast):
     assert result == {"A": (Decimal("0.0005"), 1)}
 
 
+@pytest.mark.parametrize("ansi", ["true", "false"])
+@pytest.mark.parametrize("amount", [1e17, float("nan"), float("inf"), -1e17])
+def test_values_that_are_no_amounts_raise(spark, conf, ansi, amount):
+    conf("spark.sql.ansi.enabled", ansi)
+    with pytest.raises(PySparkException, match="no amount"):
+        run(spark, [(1, amount, 0.0), (1, 5.0, 0.0)], [(1, 10)], [(10, 0)], [(0, "A")])
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_overflow_raises(spark, conf, ansi):
+    conf("spark.sql.ansi.enabled", ansi)
+    # A line of about 10**32: seven zeros below the limit of a sum, which repeated orders then pass.
+    lines = [(1, 9e15, -9e15)] * 10
+    with pytest.raises(PySparkException, match="(?i)overflow|out of range|cannot be represented"):
+        run(spark, lines * 9, [(1, 10)] * 1_000, [(10, 0)] * 100, [(0, "A")])
+
+
+def test_further_decimals_are_rounded_half_up(spark):
+    lines = [(1, 1.005, 0.0), (1, 1.004, 0.004), (1, -1.005, 0.0)]
+    assert run(spark, lines, [(1, 10)], [(10, 0)], [(0, "A")]) == {"A": (Decimal("1.0000"), 1)}
+
+
 keys = st.one_of(st.none(), st.integers(0, 3))
 cents = st.one_of(st.none(), st.integers(-1_000_000, 1_000_000).map(lambda n: n / 100))
 hundredths = st.one_of(st.none(), st.integers(0, 100).map(lambda n: n / 100))

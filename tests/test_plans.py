@@ -49,6 +49,11 @@ def test_large_tables_sort_merge_and_lines_shuffle_once(spark, conf, capsys):
     lines = re.findall(r"Exchange hashpartitioning\(l_orderkey#\d+L, \d+\).*\n.*", text)
     assert len(lines) == 1
     assert "partial_sum" in lines[0]
+    # Orders move for the customer join, for the count per (order, nation) after it, and for the lines.
+    keys = [re.sub(r"#\d+L?", "", key) for key in re.findall(r"Exchange hashpartitioning\((.*), \d+\)", text)]
+    assert sorted(keys) == sorted(
+        ["l_orderkey", "o_custkey", "o_orderkey, n_name", "o_orderkey", "c_custkey", "c_nationkey", "n_nationkey", "n_name"]
+    )
 
 
 @pytest.mark.parametrize("table, key, value", [

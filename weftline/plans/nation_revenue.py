@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.functions import money
+from weftline.functions import exact_product, exact_sum, money
 
 
 def nation_revenue(
@@ -25,9 +25,11 @@ def nation_revenue(
     No side is broadcast by hint. Spark broadcasts what its size estimate, or the
     measured shuffle size, puts under ``spark.sql.autoBroadcastJoinThreshold`` and
     sort-merge joins the rest.
+
+    No amount is lost without an error: see ``money``. An order without an amount still counts.
     """
     revenue_per_order = lineitem.groupBy("l_orderkey").agg(
-        F.sum(money("l_extendedprice") * (1 - money("l_discount"))).alias("order_revenue")
+        exact_sum(exact_product(money("l_extendedprice"), 1 - money("l_discount"))).alias("order_revenue")
     )
     customer_nation = customer.join(
         nation, F.col("c_nationkey") == F.col("n_nationkey")
@@ -41,7 +43,7 @@ def nation_revenue(
         order_nation.join(revenue_per_order, F.col("o_orderkey") == F.col("l_orderkey"))
         .groupBy("n_name")
         .agg(
-            F.sum(F.col("order_revenue") * F.col("copies")).alias("revenue"),
+            exact_sum(exact_product(F.col("order_revenue"), F.col("copies"))).alias("revenue"),
             F.count("*").alias("n_orders"),
         )
     )
