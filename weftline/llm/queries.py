@@ -115,5 +115,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_url_filter": url_filter.oracle(),
     "op2_line_quality": lines.SQL,
+    "op7_warc": warc.SQL,
     "op8_preference": preference.SQL,
 }

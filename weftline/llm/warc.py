@@ -241,3 +241,15 @@ def read_records(places: DataFrame, folder: str) -> DataFrame:
         rows,
         "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary",
     )
+
+
+SQL = f"""
+    SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, sha256(html) AS payload_digest,
+           CASE WHEN page_id <> lead THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN page_id <> lead THEN lead END AS refers_to
+    FROM (
+        SELECT page_id, html,
+               CASE WHEN octet_length(encode(html)) >= {LEAST_REVISIT} THEN min(page_id) OVER (PARTITION BY html) ELSE page_id END AS lead
+        FROM (SELECT page_id, coalesce(html, '') AS html FROM pages)
+    )
+"""
