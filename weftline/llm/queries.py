@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import line_quality as lines
-from weftline.llm import preference, url_filter, warc
+from weftline.llm import preference, run_length_index, url_filter, warc
 from weftline.llm.best_fit import packed
 from weftline.llm.bpe import decode, encode
 from weftline.llm.chaining import shared_passages
@@ -117,4 +117,5 @@ ORACLES: dict[str, str] = {
     "op2_line_quality": lines.SQL,
     "op7_warc": warc.SQL,
     "op8_preference": preference.SQL,
+    "op9_run_length_index": run_length_index.SQL,
 }

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.spill import stored
+from weftline.llm.spill import splittable, stored
 from weftline.llm.textarrays import BYTE_CODES, chunks, mix, ranges, rolling_hashes, span_hashes, text_bytes, window_minima
 
 LENGTH = 200
@@ -327,7 +327,7 @@ def repeated_spans(
         .select("key", (F.col("differ") | F.col("any_tied")).alias("mixed"))
     )
     # Occurrences whose key is seen again: all that follows works on these alone.
-    known = stored(found.drop("tied").join(keys, "key"))
+    known = stored(found.drop("tied").join(splittable(keys, "key"), "key"))
     contents = known.groupBy("key", "content", "mixed").agg(
         F.count("*").alias("copies"), F.min(F.struct("doc_id", "start", "size")).alias("at")
     )
@@ -337,7 +337,7 @@ def repeated_spans(
     # A content with copies repeats as a whole. Its bytes may still hold strings of other contents.
     asked = (
         contents.filter("mixed")
-        .join(crowded, "key")
+        .join(splittable(crowded, "key"), "key")
         .select("at.doc_id", F.struct("at.start", "at.size", "key", "content", "crowded").alias("asked"))
         .groupBy("doc_id")
         .agg(F.collect_list("asked").alias("asked"))
@@ -403,3 +403,29 @@ def remove_repeats(
         .unionByName(none)
         .mapInArrow(_cut_texts, f"doc_id bigint, n_bytes bigint, spans {_SPAN}, kept binary")
     )
+
+
+SQL = f"""
+    WITH texts AS (
+        SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+    ), strings AS (
+        SELECT doc_id, i, md5(substr(h, 2 * i + 1, {2 * LENGTH})) AS k
+        FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - {LENGTH - 1})) AS i FROM texts)
+    ), repeats AS (
+        SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY k) AS n FROM strings) WHERE n > 1
+    ), numbered AS (
+        SELECT doc_id, i, sum(CASE WHEN i - before <= {LENGTH} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS span
+        FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM repeats)
+    ), spans AS (
+        SELECT doc_id, min(i) AS a, max(i) + {LENGTH} AS b FROM numbered GROUP BY doc_id, span
+    ), pieces AS (
+        SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS low FROM spans
+    ), kept AS (
+        SELECT doc_id, count(*) AS n, sum(b - a) AS removed, max(b) AS last,
+               string_agg(substr(h, 2 * low + 1, 2 * (a - low)), '' ORDER BY a) AS front
+        FROM pieces JOIN texts USING (doc_id) GROUP BY doc_id
+    )
+    SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans,
+           sha256(unhex(coalesce(front, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+    FROM texts LEFT JOIN kept USING (doc_id)
+"""
