@@ -18,7 +18,6 @@ WITHOUT_SQL = {
     "op4_iblt": "its hashes have no SQL function in DuckDB; compared to plain sets in its tests",
     "op5_chaining": "chaining has no SQL; compared to a plain search in its tests",
     "op6_best_fit": "tokens and packing have no SQL; compared to the tokenizer in its tests",
-    "op9_run_length_index": "too slow in SQL on whole tables; compared to a plain search in its tests",
     "op10_bpe": "tokens have no SQL; compared to the tiktoken library in its tests",
     "pipeline": "holds stages without SQL; compared to plain versions in its tests",
 }
