@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from weftline.llm import prob_minhash
 from weftline.llm.components import connected_components
 from weftline.llm.prob_minhash import near_duplicates, probability_jaccard, signatures
 
@@ -32,7 +33,7 @@ def brute_classes(docs, threshold):
     for i, _ in docs:
         for j, _ in docs:
             same = words[i] == words[j] and words[i]
-            if i < j and (same or brute_similarity(sets[i], sets[j]) >= threshold):
+            if i < j and (same or brute_similarity(sets[i], sets[j]) >= threshold - 1e-9):
                 a, b = sorted((root(i), root(j)))
                 parent[b] = a
     return {i: root(i) for i, _ in docs}
@@ -69,14 +70,27 @@ def corpus(rng):
     return docs
 
 
-@pytest.mark.parametrize("seed", range(2))
-def test_matches_brute_force(spark, seed):
+@pytest.mark.parametrize("seed, block", [(0, 256), (1, 7)])
+def test_matches_brute_force(spark, monkeypatch, seed, block):
+    monkeypatch.setattr(prob_minhash, "BLOCK", block)
+    monkeypatch.setattr(prob_minhash, "TURNS", 1 if block == 7 else 2)
     docs = corpus(random.Random(seed))
     frame = spark.createDataFrame([(i, t, "x", 5) for i, t in docs], "doc_id bigint, text string, bucket string, class_id int")
     rows = near_duplicates(frame, bands=60).collect()
     assert {r.doc_id: r.class_id for r in rows} == brute_classes(docs, 0.8)
 
 
+def test_weighted_copies_across_blocks(spark, monkeypatch):
+    """Without any turn, the blocks alone must find all components; sums over shares must not lose weighted texts."""
+    monkeypatch.setattr(prob_minhash, "BLOCK", 5)
+    monkeypatch.setattr(prob_minhash, "TURNS", 1)
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(40)]
+    docs = [(i, " ".join(base * 2 + [f"x{i}y{k}" for k in range(rng.randint(0, 14))] + base[: rng.randint(0, 30)])) for i in range(50)]
+    rows = near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string"), bands=60).collect()
+    assert {r.doc_id: r.class_id for r in rows} == brute_classes(docs, 0.8)
+
+
 def test_empty_null_and_repeated_ids(spark):
     schema = "doc_id bigint, text string"
     assert near_duplicates(spark.createDataFrame([], schema)).collect() == []

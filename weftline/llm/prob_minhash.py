@@ -13,17 +13,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.components import connected_components
-from weftline.llm.spill import stored
+from weftline.llm.spill import splittable, stored
 from weftline.llm.textarrays import chunks, mix, shingle_hashes, text_bytes, word_hashes
 
 WORDS = 5
 SIMILARITY = 0.8
 #: A pair of similarity s shares a bucket with probability 1 - (1 - s**ROWS)**BANDS: 0.99995 at 0.8.
 BANDS, ROWS = 25, 5
+#: Turns in which each bucket compares its texts to one of them.
+TURNS = 2
+#: Texts in a block of those that meet in the end.
+BLOCK = 256
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -143,6 +147,81 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float)
     )
 
 
+def _ordered(a: Column, b: Column) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def _star(placed: DataFrame, turn: int) -> DataFrame:
+    """Each text of a bucket with one text of it, another in every bucket and turn, unless their component is the same."""
+    by = F.struct(F.xxhash64("doc", "bucket", F.lit(turn)), "doc", "component")
+    centres = placed.groupBy("bucket").agg(F.max(by).alias("centre"))
+    both = placed.join(splittable(centres, "bucket"), "bucket").filter("component <> centre.component")
+    return both.select(*_ordered(F.col("doc"), F.col("centre.doc"))).distinct()
+
+
+def _links_between(docs: np.ndarray, component: np.ndarray, side: np.ndarray, column: pa.Array, words: int, similarity: float) -> list[tuple[int, int]]:
+    """A similar pair of texts for each two components that have one, from the texts of two blocks or within one.
+
+    The probability Jaccard similarity is at most the share of either text's weight that lies on elements
+    of the other. Products of matrices give these shares; only pairs that reach the threshold by both go on.
+    """
+    text, shingle, count, _, _ = weighted_shingles(column, words)
+    n = len(docs)
+    order = np.argsort(shingle)
+    ranked = shingle[order]
+    which = np.cumsum(np.append(True, ranked[1:] != ranked[:-1])) - 1 if len(ranked) else np.zeros(0, np.int64)
+    often = np.bincount(which)[which] > 1 if len(which) else np.zeros(0, bool)
+    rows, weights = text[order][often], count[order][often].astype(np.float64)
+    columns = np.cumsum(np.append(True, np.diff(which[often]) > 0)) - 1 if often.any() else np.zeros(0, np.int64)
+    shared = np.zeros((n, n))
+    for low in range(0, int(columns[-1]) + 1 if len(columns) else 0, 4096):
+        part = slice(*np.searchsorted(columns, [low, low + 4096]))
+        mass = np.zeros((n, 4096))
+        mass[rows[part], columns[part] - low] = weights[part]
+        shared += mass @ (mass > 0).T
+    total = np.bincount(text, count, n)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        share = np.nan_to_num(shared / total[:, None])
+    near = (share >= similarity - 1e-9) & (share.T >= similarity - 1e-9) & (component[:, None] < component[None, :])
+    if len(set(side.tolist())) > 1:
+        near &= side[:, None] != side[None, :]
+    cut = np.searchsorted(text, np.arange(1, n))
+    sets = list(zip(np.split(shingle, cut), np.split(count, cut)))
+    links: dict[tuple[int, int], tuple[int, int]] = {}
+    for i, j in zip(*(x.tolist() for x in np.nonzero(near))):
+        pair = component[i], component[j]
+        if pair not in links and probability_jaccard(sets[i], sets[j]) >= similarity - 1e-9:
+            links[pair] = docs[i], docs[j]
+    return list(links.values())
+
+
+def _across(placed: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Links between texts that buckets connect and whose components differ: (a, b), one for two components in a block.
+
+    Texts that buckets connect are dealt into blocks, and every two blocks meet in a task, which gives
+    back links only. Its size is that of two blocks, however many texts are connected.
+    """
+    centres = placed.groupBy("bucket").agg(F.min("doc").alias("b"))
+    edges = placed.join(splittable(centres, "bucket"), "bucket").select(F.col("doc").alias("a"), "b")
+    groups = connected_components(edges).select(F.col("node").alias("doc"), F.col("component").alias("crowd"))
+    members = stored(placed.select("doc", "component").distinct().join(groups, "doc"))
+    sizes = members.groupBy("crowd").agg((F.floor(F.count("*") / BLOCK) + 1).alias("blocks"))
+    dealt = members.join(splittable(sizes, "crowd"), "crowd").withColumn("side", F.pmod(F.xxhash64("doc"), "blocks"))
+    dealt = dealt.join(texts.withColumnRenamed("doc_id", "doc"), "doc")
+    met = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        columns = (table.column(name).to_numpy() for name in ("doc", "component", "side"))
+        links = _links_between(*columns, table.column("text").combine_chunks(), words, similarity)
+        return pa.table({name: pa.array([x[k] for x in links], pa.int64()) for k, name in enumerate("ab")})
+
+    meeting = met.select(
+        "crowd", F.least("side", "with").alias("low"), F.greatest("side", "with").alias("high"), "doc", "component", "side", "text"
+    )
+    return meeting.groupBy("crowd", "low", "high").applyInArrow(compare, "a bigint, b bigint")
+
+
 def near_duplicates(
     docs: DataFrame,
     words: int = WORDS,
@@ -152,10 +231,11 @@ def near_duplicates(
 ) -> DataFrame:
     """Class of each document: (doc_id, class_id), the smallest doc_id that verified links lead to.
 
-    Texts with the same words in the same order are one class at once and go on as one. In
-    every bucket the text that shares most buckets with others is compared to all others. Buckets
-    whose texts then still lie in different components compare texts across components, so no
-    link between components is passed over.
+    Texts with the same words in the same order are one class at once and go on as one. In a few
+    turns, one text of each bucket is compared to the others. A large group of copies thereby grows
+    together without all its pairs. Texts of buckets that then still span several components are
+    compared block by block, so no link between components is passed over. With copies spread about the
+    threshold that step is the only one that grows faster than the group does.
 
     Texts without a word, nulls among them, are in no group: their class is their own doc_id, or
     null without one. Texts of fewer than ``words`` words only match equal ones. Rows with a null doc_id
@@ -169,38 +249,27 @@ def near_duplicates(
     distinct = known.groupBy("content").agg(F.min("doc_id").alias("doc"), F.any_value("bands").alias("bands"))
     members = distinct.select("doc", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    crowd = members.join(shared, "bucket")
-    # The centre of a group of copies meets more texts than its edges do.
-    weights = crowd.groupBy("doc").agg(F.sum("n").alias("weight"))
-    crowd = stored(crowd.join(weights, "doc").select("bucket", "doc", "weight"))
+    crowd = stored(members.join(splittable(shared.select("bucket"), "bucket"), "bucket"))
     texts = stored(plain.join(crowd.select(F.col("doc").alias("doc_id")).distinct(), "doc_id"))
 
-    centres = crowd.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("doc")).alias("minus"))).alias("top"))
-    star = (
-        crowd.join(centres.select("bucket", (-F.col("top.minus")).alias("a")), "bucket")
-        .select("a", F.col("doc").alias("b"))
-        .filter("a <> b")
-        .distinct()
-    )
-    links = stored(verified(star, texts, words, similarity).select("a", "b"))
-    components = stored(connected_components(links))
-
-    # Texts in buckets that span several components: pairs across them, without those compared.
-    placed = crowd.join(components, F.col("doc") == F.col("node"), "left").select(
-        "bucket", "doc", F.coalesce("component", "doc").alias("component")
-    )
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    open_texts = stored(placed.join(mixed.select("bucket"), "bucket"))
-    left, right = open_texts.alias("l"), open_texts.alias("r")
-    across = (
-        left.join(right, (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.component") < F.col("r.component")))
-        .select(F.least("l.doc", "r.doc").alias("a"), F.greatest("l.doc", "r.doc").alias("b"))
-        .distinct()
-    )
-    tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = stored(verified(across.join(tried, ["a", "b"], "left_anti"), texts, words, similarity).select("a", "b"))
-    if not more.isEmpty():
-        components = stored(connected_components(links.unionByName(more)))
+    placed = crowd.withColumn("component", F.col("doc"))
+    links = components = None
+    for turn in range(TURNS + 1):
+        if turn < TURNS:
+            found = verified(_star(placed, turn), texts, words, similarity).select("a", "b")
+        else:
+            found = _across(placed, texts, words, similarity)
+        found = stored(found)
+        if turn and found.isEmpty():
+            continue
+        links = found if links is None else links.unionByName(found)
+        components = stored(connected_components(links))
+        if turn == TURNS:
+            break
+        joined = crowd.join(components, F.col("doc") == F.col("node"), "left")
+        placed = joined.select("bucket", "doc", F.coalesce("component", "doc").alias("component"))
+        mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        placed = stored(placed.join(mixed.filter("low < high").select("bucket"), "bucket"))
 
     placed = distinct.select("content", "doc").join(components, F.col("doc") == F.col("node"), "left")
     # A null content joins nothing.
@@ -209,3 +278,17 @@ def near_duplicates(
     )
     # A doc_id with several texts lies in the smallest of their classes.
     return classes.groupBy("doc_id").agg(F.coalesce(F.min("class_id"), F.col("doc_id")).alias("class_id"))
+
+
+def without_near_duplicates(docs: DataFrame) -> DataFrame:
+    """The documents that give their class its id, in the columns of ``docs``: one of each class.
+
+    Of rows that repeat such a doc_id, the one with the smallest text stays. Rows with a null doc_id all stay.
+    """
+    kept = near_duplicates(docs).filter("doc_id = class_id").select("doc_id")
+    found = docs.join(kept, "doc_id", "left_semi")
+    if not docs.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1 AND doc_id IS NOT NULL").isEmpty():
+        rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+        rows = found.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text")
+        found = rows.withColumn("rank", rank).filter("rank = 1").select("row.*")
+    return found.unionByName(docs.filter("doc_id IS NULL"))
