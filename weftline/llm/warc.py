@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.spill import stored
+from weftline.llm.textarrays import CHUNK_BYTES, chunks
 
 #: Shorter payloads are always written in full.
 LEAST_REVISIT = 100
@@ -96,19 +97,18 @@ def _write_rows(folder: str, archive_bytes: int):
         # A task that runs again writes names of its own; only files that a finished task names are read.
         name, out, zipped, size = "", None, None, 0
         done: list[str] = []
-        for batch in batches:
-            for row in batch.to_pylist():
-                if out is None:
-                    name = f"{uuid4().hex}.warc.gz"
-                    out, zipped, size = store.open_output_stream(f"{root}/{name}", compression=None), zlib.compressobj(1, zlib.DEFLATED, 31), 0
-                payload = (row["html"] or "").encode()
-                out.write(zipped.compress(record(row["page_id"], row["url"], row["kind"], row["digest"], row["refers_to"], len(payload), payload)))
-                size += len(payload)
-                if size >= archive_bytes:
-                    out.write(zipped.flush())
-                    out.close()
-                    done.append(name)
-                    out = None
+        for row in (row for batch in batches for part in chunks(batch, "html") for row in part.to_pylist()):
+            if out is None:
+                name = f"{uuid4().hex}.warc.gz"
+                out, zipped, size = store.open_output_stream(f"{root}/{name}", compression=None), zlib.compressobj(6, zlib.DEFLATED, 31), 0
+            payload = (row["html"] or "").encode()
+            out.write(zipped.compress(record(row["page_id"], row["url"], row["kind"], row["digest"], row["refers_to"], len(payload), payload)))
+            size += len(payload)
+            if size >= archive_bytes:
+                out.write(zipped.flush())
+                out.close()
+                done.append(name)
+                out = None
         if out is not None:
             out.write(zipped.flush())
             out.close()
@@ -206,25 +206,30 @@ def read_records(places: DataFrame, folder: str) -> DataFrame:
     (page_id, payload_bytes, payload_digest, record_type, refers_to, payload); the payload of a revisit is null.
     """
 
+    names = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload")
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
+
+    def whole(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*found), kinds)], list(names))
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = _filesystem(folder)
         opened, file = None, None
-        for batch in batches:
-            names = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload")
-            out: dict[str, list] = {name: [] for name in names}
-            for row in batch.to_pylist():
-                if row["archive"] != opened:
-                    opened, file = row["archive"], store.open_input_file(f"{root}/{row['archive']}")
-                file.seek(row["offset"])
-                ((headers, raw),) = records(inflated(pa.BufferReader(file.read(row["length"]))))
-                kind = headers["WARC-Type"]
-                payload = raw[raw.index(b"\r\n\r\n") + 4 : -4]
-                digest = headers["WARC-Payload-Digest"].removeprefix("sha256:")
-                if kind == "response" and hashlib.sha256(payload).hexdigest() != digest:
-                    raise ValueError(f"the payload of {headers['WARC-Record-ID']} does not have its digest")
-                number = headers["WARC-Record-ID"][len("<urn:page:") : -1]
-                refers = headers.get("WARC-Refers-To")
-                values = (
+        found, held = [], 0
+        for row in (row for batch in batches for row in batch.to_pylist()):
+            if row["archive"] != opened:
+                opened, file = row["archive"], store.open_input_file(f"{root}/{row['archive']}")
+            file.seek(row["offset"])
+            ((headers, raw),) = records(inflated(pa.BufferReader(file.read(row["length"]))))
+            kind = headers["WARC-Type"]
+            payload = raw[raw.index(b"\r\n\r\n") + 4 : -4]
+            digest = headers["WARC-Payload-Digest"].removeprefix("sha256:")
+            if kind == "response" and hashlib.sha256(payload).hexdigest() != digest:
+                raise ValueError(f"the payload of {headers['WARC-Record-ID']} does not have its digest")
+            number = headers["WARC-Record-ID"][len("<urn:page:") : -1]
+            refers = headers.get("WARC-Refers-To")
+            found.append(
+                (
                     int(number) if number else None,
                     int(headers["X-Payload-Length"]),
                     digest,
@@ -232,10 +237,13 @@ def read_records(places: DataFrame, folder: str) -> DataFrame:
                     int(refers[len("<urn:page:") : -1]) if refers else None,
                     payload if kind == "response" else None,
                 )
-                for name, value in zip(names, values):
-                    out[name].append(value)
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(out[n], k) for n, k in zip(names, kinds)], list(names))
+            )
+            held += len(payload)
+            if held > CHUNK_BYTES:
+                yield whole(found)
+                found, held = [], 0
+        if found:
+            yield whole(found)
 
     return places.select("archive", "offset", "length").mapInArrow(
         rows,
