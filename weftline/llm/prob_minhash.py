@@ -26,6 +26,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
 #: Turns in which each bucket compares its texts to one of them.
 TURNS = 2
+#: In buckets of more texts than LARGE, one of so many texts is compared in a turn.
+LARGE, ONE_OF = 64, 8
 #: Texts in a block of those that meet in the end.
 BLOCK = 256
 
@@ -152,10 +154,14 @@ def _ordered(a: Column, b: Column) -> list[Column]:
 
 
 def _star(placed: DataFrame, turn: int) -> DataFrame:
-    """Each text of a bucket with one text of it, another in every bucket and turn, unless their component is the same."""
+    """Each text of a bucket with one text of it, another in every bucket and turn, unless their component is the same.
+
+    A text in large buckets tries some of them only; what it misses is left to ``_across``.
+    """
     by = F.struct(F.xxhash64("doc", "bucket", F.lit(turn)), "doc", "component")
     centres = placed.groupBy("bucket").agg(F.max(by).alias("centre"))
-    both = placed.join(splittable(centres, "bucket"), "bucket").filter("component <> centre.component")
+    some = placed.filter((F.col("n") <= LARGE) | (F.pmod(F.xxhash64("doc", "bucket", F.lit(turn), F.lit(1)), F.lit(ONE_OF)) == 0))
+    both = some.join(splittable(centres, "bucket"), "bucket").filter("component <> centre.component")
     return both.select(*_ordered(F.col("doc"), F.col("centre.doc"))).distinct()
 
 
@@ -249,7 +255,7 @@ def near_duplicates(
     distinct = known.groupBy("content").agg(F.min("doc_id").alias("doc"), F.any_value("bands").alias("bands"))
     members = distinct.select("doc", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    crowd = stored(members.join(splittable(shared.select("bucket"), "bucket"), "bucket"))
+    crowd = stored(members.join(splittable(shared, "bucket"), "bucket"))
     texts = stored(plain.join(crowd.select(F.col("doc").alias("doc_id")).distinct(), "doc_id"))
 
     placed = crowd.withColumn("component", F.col("doc"))
@@ -267,7 +273,7 @@ def near_duplicates(
         if turn == TURNS:
             break
         joined = crowd.join(components, F.col("doc") == F.col("node"), "left")
-        placed = joined.select("bucket", "doc", F.coalesce("component", "doc").alias("component"))
+        placed = joined.select("bucket", "n", "doc", F.coalesce("component", "doc").alias("component"))
         mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
         placed = stored(placed.join(mixed.filter("low < high").select("bucket"), "bucket"))
 
