@@ -164,16 +164,19 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     with the smallest text counts. A row with a null doc_id has no next document: an empty text stands in.
     """
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    needs = texts.groupBy("doc_id").agg(F.max(F.floor(F.length("text") / 2)).alias("need"))
+    known = texts.filter("doc_id IS NOT NULL")
+    needs = known.groupBy("doc_id").agg(F.max(F.floor(F.length("text") / 2)).alias("need"))
     needs = following(docs).join(needs, "doc_id").select(F.col("doc_id").alias("before_id"), F.col("next_id").alias("doc_id"), "need")
     first = F.row_number().over(Window.partitionBy("before_id").orderBy("next_text"))
-    after = texts.join(needs, "doc_id").select("before_id", F.expr("substring(text, 1, need)").alias("start"), paragraph_digests(F.col("text")).alias("following"), F.col("text").alias("next_text"))
-    repeated = texts.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").limit(1)
+    after = known.join(needs, "doc_id").select("before_id", F.expr("substring(text, 1, need)").alias("start"), paragraph_digests(F.col("text")).alias("following"), F.col("text").alias("next_text"))
+    repeated = known.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").limit(1)
     if not repeated.isEmpty():
         after = after.withColumn("rank", first).filter("rank = 1")
     after = after.select(F.col("before_id").alias("doc_id"), "start", "following")
     half = F.floor(F.length("text") / 2)
-    both = texts.join(after, "doc_id", "left").select(
+    # The same rows meet both joins, so that the texts are shuffled once.
+    alone = texts.filter("doc_id IS NULL").select("doc_id", "text", F.lit("").alias("start"), F.array().cast("array<bigint>").alias("following"))
+    both = known.join(after, "doc_id", "left").unionByName(alone).select(
         "doc_id",
         "text",
         F.length("text").cast("bigint").alias("n_chars"),
