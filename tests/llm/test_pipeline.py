@@ -53,3 +53,10 @@ def test_one_of_repeated_rows_stays(spark):
     rows = [(1, text), (1, text), (2, text), (None, text), (None, text), (3, "a b")]
     kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame([(*r, 1) for r in rows], "doc_id bigint, text string, rank int"), "")
     assert sorted((r.doc_id or 0, r.rank) for r in kept.collect()) == [(0, 1), (0, 1), (1, 1), (3, 1)]
+
+
+def test_texts_that_share_a_doc_id_are_judged_one_by_one(spark):
+    x, y, z = (" ".join(f"{c}{i}" for i in range(40)) for c in "xyz")
+    rows = [(2, x), (5, x), (5, y), (5, y), (5, z), (6, z), (7, None), (7, None), (7, "  ")]
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "")
+    assert sorted((r.doc_id, r.text or "") for r in kept.collect()) == [(2, x), (5, y), (5, z), (7, ""), (7, "  ")]

@@ -289,12 +289,21 @@ def near_duplicates(
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
     """The documents that give their class its id, in the columns of ``docs``: one of each class.
 
-    Of rows that repeat such a doc_id, the one with the smallest text stays. Rows with a null doc_id all stay.
+    Texts that share a doc_id are documents of their own, by ascending text. Of equal rows, in doc_id and text, one
+    stays. Rows with a null doc_id all stay.
     """
-    kept = near_duplicates(docs).filter("doc_id = class_id").select("doc_id")
-    found = docs.join(kept, "doc_id", "left_semi")
-    if not docs.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1 AND doc_id IS NOT NULL").isEmpty():
-        rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-        rows = found.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text")
-        found = rows.withColumn("rank", rank).filter("rank = 1").select("row.*")
-    return found.unionByName(docs.filter("doc_id IS NULL"))
+    unnamed = docs.filter("doc_id IS NULL")
+    if docs.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1 AND doc_id IS NOT NULL").isEmpty():
+        kept = near_duplicates(docs).filter("doc_id = class_id").select("doc_id")
+        return docs.join(kept, "doc_id", "left_semi").unionByName(unnamed)
+    # Numbers in the order of (doc_id, text) take the place of doc_id, one for each row.
+    rows = docs.filter("doc_id IS NOT NULL").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text")
+    placed = stored(rows.sort("doc_id", "text").withColumn("place", F.monotonically_increasing_id()))
+    # The id has the partition in its high bits and the place within it in the low ones, so it rises in sort order.
+    numbered = placed.select(F.col("place").alias("doc_id"), "text")
+    kept = near_duplicates(numbered).filter("doc_id = class_id").select(F.col("doc_id").alias("place"))
+    found = placed.join(kept, "place", "left_semi")
+    # Texts without a word are in no class: of those that are equal, one stays too.
+    rank = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy("place"))
+    found = found.withColumn("rank", rank).filter("rank = 1")
+    return found.select("row.*").unionByName(unnamed)
