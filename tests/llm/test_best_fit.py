@@ -78,7 +78,6 @@ def test_large_counts():
 
 def check(rows, texts):
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in rows:
         by_doc[r.doc_id].append(r)
@@ -101,9 +100,19 @@ def check(rows, texts):
     return len(by_sequence)
 
 
+#: Texts that spell the added token: alone, inside, repeated, in part, and beyond one chunk.
+ADDED = [
+    (-4, "<|endoftext|>"),
+    (-5, "a <|endoftext|> b\n<|endoftext|>"),
+    (-6, "<|endoftext|>" * 3),
+    (-7, "<|endoftext|"),
+    (-8, "x<|endoftext|>y" + " word" * 9000),
+]
+
+
 def test_table(spark):
     docs = read_table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text")
-    extra = [(-1, None), (-2, ""), (-3, "abc " * 3000), (-4, "<|endoftext|>"), *[(-i, "same text") for i in range(10, 60)]]
+    extra = [(-1, None), (-2, ""), (-3, "abc " * 3000), *ADDED, *[(-i, "same text") for i in range(10, 60)]]
     docs = docs.unionByName(spark.createDataFrame(extra, "doc_id bigint, text string")).selectExpr("*", "1 AS length", "'x' AS offset")
     texts = {r.doc_id: r.text for r in docs.collect()}
     rows = packed(docs, PATH).collect()

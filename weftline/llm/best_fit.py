@@ -7,24 +7,24 @@ and looks their places up in the plan.
 
 from __future__ import annotations
 
-import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.pretokens import distinct_spans, pretokens
+from weftline.llm.library_tokens import CHUNK, SpanCache, batch_ids, library_tokenizer
+from weftline.llm.pretokens import pretokens
 from weftline.llm.spill import stored
-from weftline.llm.textarrays import chunks, ranges, text_bytes
+from weftline.llm.textarrays import chunks, text_bytes
 
 CAPACITY = 1024
 END = 2
-#: Pre-tokens whose ids a Python worker remembers; when full, it starts again.
-CACHE = 1 << 19
 _WORKER: dict = {}
 
 #: A run of pieces of one length: those numbered from ``first`` up to ``until`` go ``each`` to a sequence,
@@ -136,34 +136,36 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, ..
 
 def _tokenizer(path: str):
     if _WORKER.get("path") != path:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        _WORKER.update(path=path, tokenizer=tokenizer, cache={})
-    return _WORKER["tokenizer"], _WORKER["cache"]
+        tokenizer = library_tokenizer(path)
+        added = sorted((x.content for x in tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        pattern = re.compile(b"|".join(re.escape(x.encode()) for x in added)) if added else None
+        _WORKER.update(path=path, tokenizer=tokenizer, cache=SpanCache(partial(batch_ids, tokenizer)), added=pattern)
+    return _WORKER["tokenizer"], _WORKER["cache"], _WORKER["added"]
 
 
 def token_ids(path: str, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts back to back, and the bounds of each text's. Each distinct pre-token is encoded once."""
-    tokenizer, cache = _tokenizer(path)
+    """Ids of all texts back to back, and the bounds of each text's. Each distinct pre-token is encoded once.
+
+    A text that spells one of the file's added tokens is encoded whole instead, as the plain call does it.
+    """
+    tokenizer, cache, added = _tokenizer(path)
     starts, ends, first = pretokens(data, offsets)
-    at, _, which = distinct_spans(data, starts, ends)
+    ids, bounds = cache.ids(data, starts, ends)
+    bounds = bounds[first]
     raw = data.tobytes()
-    distinct = [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())]
-    missing = [x for x in distinct if x not in cache]
-    if len(cache) + len(missing) > CACHE:
-        cache.clear()
-        missing = distinct
-    found = tokenizer.encode_batch([x.decode() for x in missing], add_special_tokens=False)
-    cache.update((x, tuple(y.ids)) for x, y in zip(missing, found))
-    lists = [cache[x] for x in distinct]
-    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    flat = np.fromiter((x for ids in lists for x in ids), np.uint32, int(sizes.sum()))
-    begin = np.cumsum(sizes) - sizes
-    token, place = ranges(sizes[which])
-    return flat[begin[which][token] + place], np.append(0, np.cumsum(sizes[which]))[first]
+    found = [x.span() for x in added.finditer(raw)] if added else []
+    texts = set()
+    for a, b in found:
+        text = int(np.searchsorted(offsets, a, "right")) - 1
+        if b <= offsets[text + 1]:
+            texts.add(text)
+    if not texts:
+        return ids, bounds
+    parts = [ids[a:b] for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
+    for text in texts:
+        whole = raw[offsets[text] : offsets[text + 1]].decode()
+        parts[text] = np.array(tokenizer.encode(whole, add_special_tokens=False).ids, np.uint32)
+    return np.concatenate(parts), np.append(0, np.cumsum([len(x) for x in parts]))
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
@@ -175,7 +177,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", CHUNK):
                 ids, bounds = token_ids(path, *text_bytes(part.column("text")))
                 out = ([], [], [], [], [])
                 for text, (a, b) in enumerate(zip(bounds.tolist(), bounds[1:].tolist())):

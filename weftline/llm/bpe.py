@@ -16,8 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from weftline.llm.pretokens import distinct_spans, pretokens
-from weftline.llm.textarrays import BYTE_CODES, chunks, mix, ranges, span_hashes, text_bytes
+from weftline.llm.pretokens import pretokens
+from weftline.llm.textarrays import byte_hashes, chunks, distinct_spans, mix, ranges, text_bytes
 
 #: Pre-tokens whose ids a Python worker remembers; when full, it starts again.
 CACHE = 1 << 19
@@ -46,7 +46,7 @@ class Vocabulary:
         lengths = np.array([len(x) for x in tokens])
         self.offsets = np.append(0, np.cumsum(lengths))
         self.data = np.frombuffer(b"".join(tokens), np.uint8)
-        self.keys = span_hashes(BYTE_CODES[self.data], self.offsets[:-1], self.offsets[1:])
+        self.keys = byte_hashes(self.data, self.offsets[:-1], self.offsets[1:])
         n = len(tokens)
         self.shift = np.zeros(n // _BUCKET + 1, np.uint64)
         self.slots = np.full(n, -1)

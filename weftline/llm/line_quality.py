@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.textarrays import BYTE_CODES, chunks, shingle_hashes, span_hashes, text_bytes, words
+from weftline.llm.textarrays import byte_hashes, chunks, shingle_hashes, text_bytes, words
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -101,7 +101,7 @@ def _quality_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for part in chunks(texts, "text"):
             data, offsets = text_bytes(part.column("text"))
             starts, ends, first = words(data, offsets)
-            values = span_hashes(BYTE_CODES[data], starts, ends)
+            values = byte_hashes(data, starts, ends)
             points = np.append(0, np.cumsum((data & 0xC0) != 0x80))
             in_words = np.append(0, np.cumsum(points[ends] - points[starts]))
             symbols = np.append(0, np.cumsum(_IS_SYMBOL[data]))[offsets]

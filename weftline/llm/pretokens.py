@@ -12,8 +12,6 @@ import functools
 import numpy as np
 import regex
 
-from weftline.llm.textarrays import BYTE_CODES, span_hashes
-
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 
 
@@ -76,15 +74,3 @@ def pretokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     starts = at[:-1][start]
     ends = np.append(starts[1:], len(data))
     return starts, ends, np.searchsorted(starts, offsets)
-
-
-def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of spans of bytes: one index and the hash of each distinct one, and the distinct one of each span."""
-    hashes = span_hashes(BYTE_CODES[data], starts, ends)
-    order = np.argsort(hashes)
-    ranked = hashes[order]
-    new = np.ones(len(order), bool)
-    new[1:] = ranked[1:] != ranked[:-1]
-    which = np.empty(len(order), np.int64)
-    which[order] = np.cumsum(new) - 1
-    return order[new], ranked[new], which

@@ -9,10 +9,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 CHUNK_BYTES = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POWERS: dict[str, np.ndarray] = {}
+#: Longer spans are hashed and compared one by one, shorter ones eight bytes of all of them at a time.
+LONG_SPAN = 512
 
 
 def _byte_codes() -> np.ndarray:
@@ -32,6 +35,7 @@ def mix(values: np.ndarray) -> np.ndarray:
 
 
 BYTE_CODES = _byte_codes()
+_FACTORS = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
 def chunks(batch: pa.RecordBatch, name: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -87,6 +91,73 @@ def rolling_hashes(codes: np.ndarray, size: int) -> np.ndarray:
     return mix(values)
 
 
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number; zeros follow the end."""
+    return np.ndarray(len(data) + 1, "<u8", np.append(data, np.zeros(8, np.uint8)).tobytes(), strides=(1,))
+
+
+def _low_bytes(values: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``values`` with all but their ``n`` low bytes cleared."""
+    return values & (~np.uint64(0) >> (np.uint64(64) - np.uint64(8) * np.minimum(n, 8).astype(np.uint64)))
+
+
+def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each span of bytes.
+
+    Every eight bytes are scrambled together with what came before, so that no regular pattern cancels out, as it does in a
+    sum of powers. Spans of up to eight bytes never collide with others of their length.
+    """
+    lengths = ends - starts
+    state = mix(lengths.astype(np.uint64))
+    eights, active, at = _eights(data), np.flatnonzero((lengths > 0) & (lengths <= LONG_SPAN)), 0
+    while len(active):
+        rest = lengths[active] - at
+        state[active] = mix(state[active] ^ _low_bytes(eights[starts[active] + at], rest))
+        at += 8
+        active = active[rest > 8]
+    for i in np.flatnonzero(lengths > LONG_SPAN).tolist():
+        state[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
+    return state
+
+
+def equal_spans(data: np.ndarray, a: np.ndarray, b: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Whether the spans of ``lengths`` bytes from ``a`` and from ``b`` on hold the same bytes."""
+    same = np.ones(len(a), bool)
+    eights, active, at = _eights(data), np.flatnonzero((lengths > 0) & (lengths <= LONG_SPAN)), 0
+    while len(active):
+        rest = lengths[active] - at
+        equal = _low_bytes(eights[a[active] + at] ^ eights[b[active] + at], rest) == 0
+        same[active[~equal]] = False
+        at += 8
+        active = active[equal & (rest > 8)]
+    for i in np.flatnonzero(lengths > LONG_SPAN).tolist():
+        same[i] = np.array_equal(data[a[i] : a[i] + lengths[i]], data[b[i] : b[i] + lengths[i]])
+    return same
+
+
+def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of spans of bytes: one index and the hash of each distinct one, and the distinct one of each span.
+
+    Spans of equal hashes are compared byte by byte, so different ones never count as one.
+    """
+    hashes, lengths = byte_hashes(data, starts, ends), ends - starts
+    order = np.argsort(hashes)
+    ranked = hashes[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (ranked[1:] != ranked[:-1]) | (lengths[order[1:]] != lengths[order[:-1]])
+    alike = np.flatnonzero(~new)
+    wrong = ~equal_spans(data, starts[order[alike - 1]], starts[order[alike]], lengths[order[alike]])
+    which = np.empty(len(order), np.int64)
+    if wrong.any():  # two different spans with one hash, which may lie in any order
+        numbers: dict[bytes, int] = {}
+        for i, (a, b) in enumerate(zip(starts.tolist(), ends.tolist())):
+            which[i] = numbers.setdefault(data[a:b].tobytes(), len(numbers))
+        at = np.unique(which, return_index=True)[1]
+        return at, hashes[at], which
+    which[order] = np.cumsum(new) - 1
+    return order[new], ranked[new], which
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of each word, and the index of the first word of each text (one more at the end).
 
@@ -106,7 +177,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word, and the index of the first word of each text (one more at the end)."""
     starts, ends, first = words(data, offsets)
-    return span_hashes(BYTE_CODES[data], starts, ends), first
+    return byte_hashes(data, starts, ends), first
 
 
 def ranges(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,10 +189,16 @@ def ranges(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def shingle_hashes(
     values: np.ndarray, first: np.ndarray, size: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each run of ``size`` words within a text, the text it is from, and its first word's index."""
+    """Hash of each run of ``size`` words within a text, the text it is from, and its first word's index.
+
+    Each place in the run has a factor of its own; ``size`` is at most 64.
+    """
     text, place = ranges(np.maximum(np.diff(first) - size + 1, 0))
     at = first[:-1][text] + place
-    return span_hashes(values, at, at + size), text, at
+    sums = np.zeros(max(len(values) - size + 1, 0), np.uint64)
+    for i, factor in enumerate(_FACTORS[:size]):
+        sums += values[i : i + len(sums)] * factor
+    return mix(sums[at]) if len(at) else sums[:0], text, at
 
 
 def window_minima(values: np.ndarray, size: int) -> np.ndarray:
