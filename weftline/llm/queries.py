@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from weftline.llm import line_quality as lines
 from weftline.llm import preference, run_length_index, url_filter, warc
 from weftline.llm.best_fit import packed
+from weftline.llm.bit_packing import read_ids, write_ids
 from weftline.llm.bpe import decode, encode
 from weftline.llm.chaining import shared_passages
 from weftline.llm.iblt import fingerprints
@@ -99,6 +100,13 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, number and checksum of every document's ids, from files of packed ids."""
+    folder = f"{shared_folder(spark).rstrip('/')}/ids-{uuid4().hex}"
+    files = write_ids(read_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"))
+    return read_ids(files, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_line_quality": op2_line_quality,
@@ -110,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_preference": op8_preference,
     "op9_run_length_index": op9_run_length_index,
     "op10_bpe": op10_bpe,
+    "op11_bit_packing": op11_bit_packing,
 }
 
 ORACLES: dict[str, str] = {

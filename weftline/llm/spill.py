@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 
+from urllib.parse import urlsplit
+
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +25,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def filesystem(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder, and its path there."""
+    parts = urlsplit(folder)
+    if parts.scheme in ("", "file"):
+        return fs.LocalFileSystem(), parts.path
+    return fs.FileSystem.from_uri(folder)
+
+
 def stored(frame: DataFrame) -> DataFrame:
     """``frame`` computed once and written to the shared folder, so that no lost executor can lose it."""
     shared_folder(frame.sparkSession)

@@ -158,22 +158,21 @@ def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tu
     return order[new], ranked[new], which
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of each word, and the index of the first word of each text (one more at the end).
-
-    A word is a longest run without the bytes 0x20 and 0x09 to 0x0D.
-    """
-    n = len(data)
-    inside = np.empty(n + 2, bool)
-    inside[0] = inside[-1] = False
-    inside[1:-1] = (data != 32) & ((data < 9) | (data > 13))
-    edge = np.zeros(n + 1, bool)
+def byte_runs(kept: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of each longest run of ``kept`` bytes within a text, and the index of the first run of each text (one more at the end)."""
+    inside = np.concatenate([[False], kept, [False]])
+    edge = np.zeros(len(kept) + 1, bool)
     edge[offsets] = True
     starts = np.flatnonzero(inside[1:] & (edge | ~inside[:-1]))
     ends = np.flatnonzero(inside[:-1] & (edge | ~inside[1:]))
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``byte_runs`` of all bytes but 0x20 and 0x09 to 0x0D."""
+    return byte_runs((data != 32) & ((data < 9) | (data > 13)), offsets)
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word, and the index of the first word of each text (one more at the end)."""
     starts, ends, first = words(data, offsets)

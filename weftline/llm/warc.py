@@ -11,15 +11,13 @@ import hashlib
 import json
 import zlib
 from collections.abc import Iterator
-from urllib.parse import urlsplit
 from uuid import uuid4
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.spill import stored
+from weftline.llm.spill import filesystem, stored
 from weftline.llm.textarrays import CHUNK_BYTES, chunks
 
 #: Shorter payloads are always written in full.
@@ -83,16 +81,9 @@ def inflated(source) -> Iterator[bytes]:
         yield out
 
 
-def _filesystem(folder: str) -> tuple[fs.FileSystem, str]:
-    parts = urlsplit(folder)
-    if parts.scheme in ("", "file"):
-        return fs.LocalFileSystem(), parts.path
-    return fs.FileSystem.from_uri(folder)
-
-
 def _write_rows(folder: str, archive_bytes: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = _filesystem(folder)
+        store, root = filesystem(folder)
         store.create_dir(root, recursive=True)
         # A task that runs again writes names of its own; only files that a finished task names are read.
         name, out, zipped, size = "", None, None, 0
@@ -148,7 +139,7 @@ def write_archives(pages: DataFrame, folder: str, least_revisit: int = LEAST_REV
 
 def _normalise_rows(source: str, target: str):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (store, root), (to, to_root) = _filesystem(source), _filesystem(target)
+        (store, root), (to, to_root) = filesystem(source), filesystem(target)
         to.create_dir(to_root, recursive=True)
         for batch in batches:
             done = []
@@ -182,7 +173,7 @@ def index(archives: DataFrame, folder: str) -> DataFrame:
     """Places of all records of normalised ``archives``: (archive, id, offset, length)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = _filesystem(folder)
+        store, root = filesystem(folder)
         for batch in batches:
             for archive in batch.column("archive").to_pylist():
                 with store.open_input_stream(f"{root}/{archive}.index", compression=None) as file:
@@ -213,7 +204,7 @@ def read_records(places: DataFrame, folder: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*found), kinds)], list(names))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = _filesystem(folder)
+        store, root = filesystem(folder)
         opened, file = None, None
         found, held = [], 0
         for row in (row for batch in batches for row in batch.to_pylist()):
