@@ -1,0 +1,148 @@
+"""Ranked search against a score of every document, and its parts against plain versions."""
+
+import math
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from weftline.llm import lexical_search, textarrays
+from weftline.llm.lexical_search import Best, Postings, Queries, query_blocks, search, summed, terms, walk
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+DOCS, ITEMS = "doc_id bigint, text string", "item_id bigint, text string"
+
+
+def plain_terms(text):
+    return TERM.findall((text or "").translate(LOWER))
+
+
+def brute(docs, items, most=10):
+    counts = [Counter(plain_terms(x)) for _, x in docs]
+    lengths = [sum(c.values()) for c in counts]
+    n, total = sum(x > 0 for x in lengths), sum(lengths)
+    df = Counter(t for c in counts for t in c)
+    out = []
+    for item, text in items:
+        scores = []
+        for (doc, _), c, size in zip(docs, counts, lengths):
+            m = 100 - 90 + 90 * size * n // max(total, 1)
+            score = sum(
+                math.floor(1000 * math.log((2 * n + 2) / (2 * df[t] + 1))) * (1_000_000_000 * c[t] // (1000 * c[t] + 8 * m))
+                for t in set(plain_terms(text))
+                if c[t]
+            )
+            if score > 0:
+                scores.append((-score, doc is None, doc or 0))
+        out += [(item, i + 1, None if none else doc, -s) for i, (s, none, doc) in enumerate(sorted(scores)[:most])]
+    return out
+
+
+def key(rows):
+    return sorted(tuple(-1 if x is None else x for x in row) for row in rows)
+
+
+def corpus(rng, n, vocabulary=60):
+    words = [f"w{i}" for i in range(vocabulary)]
+    weights = [1 / (i + 1) for i in range(vocabulary)]
+    return [(i, " ".join(rng.choices(words, weights, k=rng.choice([0, 1, 5, 30, 200])))) for i in range(n)]
+
+
+def test_terms():
+    texts = ["The CAFÉ's x_1 — Über,99", None, "", "\x00a\x7fb", "日本 語"]
+    data, starts, ends, first = terms(pa.array(texts))
+    raw = data.tobytes()
+    found = [[raw[a:b].decode() for a, b in zip(starts[x:y], ends[x:y])] for x, y in zip(first, first[1:])]
+    assert found == [plain_terms(x) for x in texts]
+
+
+def test_terms_with_equal_hashes_are_told_apart(monkeypatch):
+    weak = lambda d, a, b: textarrays.byte_hashes(d, a, b) % np.uint64(3)
+    monkeypatch.setattr(lexical_search, "byte_hashes", weak)
+    queries = Queries.of([1], [" ".join(f"t{i}" for i in range(0, 40, 2))])
+    data, starts, ends, _ = terms(pa.array([" ".join(f"t{i}" for i in range(40))]))
+    found = queries.numbers(data, starts, ends).tolist()
+    assert [queries.words[k].decode() if k >= 0 else None for k in found] == [f"t{i}" if i % 2 == 0 else None for i in range(40)]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_walk_against_all_sums(seed):
+    rng = np.random.default_rng(seed)
+    for _ in range(40):
+        n = int(rng.integers(1, 400))
+        lists = []
+        for _ in range(rng.integers(1, 9)):
+            places = np.flatnonzero(rng.random(n) < rng.choice([0.01, 0.1, 0.9]))
+            if len(places):
+                scores = rng.integers(1, rng.choice([3, 1000]), len(places))
+                lists.append(Postings(places, scores, int(scores.max())))
+        if not lists:
+            continue
+        docs = rng.permutation(n).tolist()
+        best = Best(5)
+        # What other segments found before, which raises the bar.
+        before = [(int(s), n + i) for i, s in enumerate(rng.integers(0, 2000, rng.integers(0, 8)))]
+        before = [x for x in before if x[0] > 0]
+        best.add(*(list(x) for x in zip(*before))) if before else None
+        walk(lists, n, best, docs, short=4, batch=int(rng.choice([1, 7, 1000])))
+        total = np.zeros(n, np.int64)
+        for x in lists:
+            total[x.places] += x.scores
+        everything = sorted([(-int(s), False, d) for s, d in zip(total, docs) if s > 0] + [(-s, False, d) for s, d in before])
+        assert best.found == everything[:5]
+
+
+def test_long_lists_are_skipped():
+    # A rare term brings one document; the long list is looked up there only.
+    class Watched(np.ndarray):
+        pass
+
+    n = 100_000
+    long = Postings(np.arange(n), np.ones(n, np.int64), 1)
+    rare = Postings(np.array([5, 70_000]), np.array([1000, 1000]), 1000)
+    best = Best(1)
+    walk([long, rare], n, best, list(range(n)), batch=1000)
+    assert best.found == [(-1001, False, 5)]
+    first = summed([long, rare])
+    assert first.bound == 1001 and len(first.places) == n
+
+
+@pytest.mark.parametrize("seed, partitions", [(1, 1), (2, 7)])
+def test_search_against_brute_force(spark, seed, partitions):
+    rng = random.Random(seed)
+    docs = corpus(rng, 400)
+    docs += [(-5, None), (None, "w1 w2 w40"), (None, "w1 w2 w40"), (7, "w3 w50 W50"), (7, "w3 w50 W50"), (9000, "w30 " * 60_000)]
+    items = [(i, " ".join(rng.choices([f"w{k}" for k in range(70)], k=rng.randint(0, 12)))) for i in range(25)]
+    items += [(3, "w1 w59"), (None, "w40 w2"), (900, None), (901, "nothing here")]
+    frame = spark.createDataFrame(rng.sample(docs, len(docs)), DOCS).repartition(partitions).selectExpr("*", "1 AS item_id", "2 AS score")
+    queries = spark.createDataFrame(items, ITEMS).selectExpr("*", "'x' AS doc_id")
+    expected = key(brute(docs, items))
+    # Small segments and batches, one query or a few to a block, and everything at once.
+    for sizes in ({"segment": 2000, "short": 4, "batch": 16, "query_bytes": 600}, {}):
+        assert key(search(frame, queries, **sizes).collect()) == expected
+
+
+def test_ties_go_by_id(spark):
+    docs = spark.createDataFrame([(i, "alpha beta") for i in range(30, 0, -1)] + [(99, "gamma")], DOCS).repartition(5)
+    found = search(docs, spark.createDataFrame([(1, "ALPHA?")], ITEMS)).collect()
+    assert sorted((r.rank, r.doc_id) for r in found) == [(i, i) for i in range(1, 11)] and len({r.score for r in found}) == 1
+
+
+def test_nothing_to_find(spark):
+    none, item = spark.createDataFrame([], DOCS), spark.createDataFrame([(1, "a")], ITEMS)
+    assert search(none, item).collect() == []
+    assert search(spark.createDataFrame([(1, "a")], DOCS), spark.createDataFrame([], ITEMS)).collect() == []
+    # Every document has the term: its weight is floor(1000 * ln(4 / 3)) for one document.
+    assert [tuple(r)[:3] for r in search(spark.createDataFrame([(1, "a")], DOCS), item).collect()] == [(1, 1, 1)]
+
+
+def test_blocks_hold_every_query_once(spark):
+    items = spark.createDataFrame([(i, "x" * (i % 50)) for i in range(200)], ITEMS)
+    blocks = query_blocks(items, 2000)
+    of = {b[-1] for b in blocks}
+    parts = [p for b in blocks for p in b[:-1]]
+    assert len(blocks) > 5 and len(of) == 1 and len(parts) == len(set(parts))

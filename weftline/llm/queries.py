@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import line_quality as lines
-from weftline.llm import preference, run_length_index, url_filter, warc
+from weftline.llm import lexical_search, preference, run_length_index, url_filter, warc
 from weftline.llm.best_fit import packed
 from weftline.llm.bit_packing import read_ids, write_ids
 from weftline.llm.bpe import decode, encode
@@ -107,6 +107,11 @@ def op11_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_ids(files, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best documents of all for every benchmark item."""
+    return lexical_search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_line_quality": op2_line_quality,
@@ -119,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_run_length_index": op9_run_length_index,
     "op10_bpe": op10_bpe,
     "op11_bit_packing": op11_bit_packing,
+    "op12_lexical_search": op12_lexical_search,
 }
 
 ORACLES: dict[str, str] = {
@@ -127,4 +133,5 @@ ORACLES: dict[str, str] = {
     "op7_warc": warc.SQL,
     "op8_preference": preference.SQL,
     "op9_run_length_index": run_length_index.SQL,
+    "op12_lexical_search": lexical_search.SQL,
 }
