@@ -7,6 +7,8 @@ a trailer of fixed size. Ids are packed and unpacked many at a time with numpy.
 
 from __future__ import annotations
 
+import functools
+import re
 import struct
 from collections.abc import Iterator
 from functools import partial
@@ -19,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.library_tokens import CHUNK, SpanCache, batch_ids, library_tokenizer
+from weftline.llm.library_tokens import CHUNK, SpanCache, joined_ids, library_tokenizer
 from weftline.llm.spill import filesystem, stored
 from weftline.llm.textarrays import chunks, ranges, text_bytes, words
 
@@ -31,7 +33,6 @@ FILE_IDS, READ_IDS = 1 << 26, 1 << 19
 MAGIC = b"FIXBITS1"
 #: Offset of the tables, ids, documents, ids in a block, bits of an id, magic.
 TRAILER = struct.Struct("<QQQII8s")
-_WORKER: dict = {}
 
 
 def bits_for(vocabulary: int) -> int:
@@ -126,19 +127,57 @@ class Reader:
         return self.ids(int(self.first[k]), int(self.first[k + 1]))
 
 
-def _cache(path: str) -> SpanCache:
-    if path not in _WORKER:
-        _WORKER[path] = SpanCache(partial(batch_ids, library_tokenizer(path)))
-    return _WORKER[path]
+@functools.cache
+def _encoder(path: str) -> tuple[SpanCache, re.Pattern[bytes] | None]:
+    tokenizer = library_tokenizer(path)
+    added = [re.escape(x.content.encode()) for x in tokenizer.get_added_tokens_decoder().values()]
+    return SpanCache(partial(joined_ids, tokenizer)), re.compile(b"|".join(added), re.IGNORECASE) if added else None
+
+
+def parts(data: np.ndarray, offsets: np.ndarray, kept: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``data`` in lower case as far as that is safe; start and end byte of each part, and the index of each text's first (one more at the end).
+
+    Parts are words, cut further between ASCII characters that the tokenizer's pattern never joins: letters, single digits
+    and others, but not after an apostrophe, which may begin a contraction. A letter before a
+    character beyond ASCII keeps its case, since the two may be composed first. Nothing in the ``kept`` spans changes.
+    """
+    starts, _, _ = words(data, offsets)
+    letter = ((data | 32) >= 97) & ((data | 32) <= 122)
+    digit = (data >= 48) & (data <= 57)
+    space = (data == 32) | ((data >= 9) & (data <= 13))
+    kind = np.select([data >= 128, space, letter, digit], [0, 1, 2, 3], 4).astype(np.int8)
+    cut = np.zeros(len(data) + 1, bool)
+    before, after = kind[:-1], kind[1:]
+    cut[1:-1] = (before > 1) & (after > 1) & ((before != after) | (after == 3)) & (data[:-1] != 39)
+    cut[starts] = True
+    last = np.ones(len(data), bool)
+    last[:-1] = data[1:] < 128
+    last[offsets[1:][offsets[1:] > offsets[:-1]] - 1] = True
+    lower = (kind == 2) & last
+    for a, b in kept:
+        cut[a + 1 : b] = False
+        lower[a:b] = False
+    starts = np.flatnonzero(cut)
+    # A part ends where the next one or white space begins, or its text ends.
+    stop = cut.copy()
+    stop[:-1] |= space
+    stop[offsets] = True
+    stops = np.flatnonzero(stop)
+    ends = stops[np.searchsorted(stops, starts, "right")]
+    return np.where(lower, data | 32, data), starts, ends, np.searchsorted(starts, offsets)
 
 
 def text_ids(path: str, column: pa.Array, end: int = END) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts back to back, each followed by ``end``, and the number of ids of each.
 
-    The tokenizer drops white space and joins nothing across it, so that every word has its ids by itself.
+    The tokenizer drops white space, folds case and splits at kinds of characters, so that parts of words have their ids by
+    themselves; see ``parts``. The file's added tokens stay whole.
     """
-    starts, ends, first = words(*(texts := text_bytes(column)))
-    ids, bounds = _cache(path).ids(texts[0], starts, ends)
+    data, offsets = text_bytes(column)
+    cache, added = _encoder(path)
+    kept = [x.span() for x in added.finditer(data.tobytes())] if added else []
+    data, starts, ends, first = parts(data, offsets, kept)
+    ids, bounds = cache.ids(data, starts, ends)
     sizes = np.diff(bounds[first])
     out = np.full(len(ids) + len(sizes), end, np.uint32)
     text, place = ranges(sizes)
@@ -184,7 +223,8 @@ def _write_rows(folder: str, path: str, bits: int, end: int, file_ids: int):
 def write_ids(docs: DataFrame, folder: str, path: str, end: int = END, file_ids: int = FILE_IDS) -> DataFrame:
     """Write the ids of all texts, each followed by ``end``, to files in ``folder``: (file, n_ids, base).
 
-    ``path`` names a file of the tokenizers library whose tokenizer drops white space; every executor and the driver
+    ``path`` names a file of the tokenizers library whose tokenizer drops white space, folds case and splits letters, digits
+    and other characters; every executor and the driver
     have it. Documents are written by ascending doc_id, nulls first; ``base`` is the number of ids in all files
     before. Rows that repeat a doc_id are each written, by a hash of their text. A null is an empty text, which
     is ``end`` alone. Other columns are ignored. An empty table writes no file.

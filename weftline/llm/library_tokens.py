@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 
@@ -30,6 +31,19 @@ def batch_ids(tokenizer, spans: list[bytes]) -> list[list[int]]:
     return [x.ids for x in tokenizer.encode_batch_fast([x.decode() for x in spans], add_special_tokens=False)]
 
 
+def joined_ids(tokenizer, spans: list[bytes], together: int = 512) -> list[list[int]]:
+    """As ``batch_ids`` for a tokenizer that drops spaces and joins nothing across them: many spans are encoded as one text."""
+    texts = [x.decode() for x in spans]
+    groups = [texts[i : i + together] for i in range(0, len(texts), together)]
+    found: list[list[int]] = []
+    for group, encoding in zip(groups, tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)):
+        starts = np.cumsum([0, *(len(x) + 1 for x in group)])
+        at = np.fromiter((a for a, _ in encoding.offsets), np.int64, len(encoding.ids))
+        cuts, ids = np.searchsorted(at, starts).tolist(), encoding.ids
+        found += [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+    return found
+
+
 class SpanCache:
     """Ids of spans by ``encode``, a function of a list of spans, remembered from batch to batch."""
 
@@ -44,12 +58,14 @@ class SpanCache:
         distinct = [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())]
         if len(self.known) + len(distinct) > CACHE:
             self.known.clear()
-        missing = [x for x in distinct if x not in self.known]
-        found = {x: tuple(y) for x, y in zip(missing, self.encode(missing))} if missing else {}
-        lists = [ids if (ids := self.known.get(x)) is not None else found[x] for x in distinct]
-        self.known.update((x, y) for x, y in found.items() if len(x) <= CACHED_BYTES)
+        lists = list(map(self.known.get, distinct))
+        missing = [i for i, ids in enumerate(lists) if ids is None]
+        for i, ids in zip(missing, self.encode([distinct[i] for i in missing]) if missing else ()):
+            lists[i] = ids = tuple(ids)
+            if len(distinct[i]) <= CACHED_BYTES:
+                self.known[distinct[i]] = ids
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((x for ids in lists for x in ids), np.uint32, int(sizes.sum()))
+        flat = np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum()))
         begin = np.cumsum(sizes) - sizes
         token, place = ranges(sizes[which])
         return flat[begin[which][token] + place], np.append(0, np.cumsum(sizes[which]))
