@@ -19,6 +19,7 @@ from weftline.llm.iblt import fingerprints
 from weftline.llm.prob_minhash import near_duplicates
 from weftline.llm.run_length_index import remove_repeats
 from weftline.llm.spill import shared_folder
+from weftline.llm.token_alignment import align_tokens
 from weftline.sources import read_table
 
 
@@ -112,6 +113,12 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens by two tokenizers, aligned, with the counts of their links over all documents."""
+    a, b = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return align_tokens(read_table(spark, sf_dir, "documents"), a, b)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_line_quality": op2_line_quality,
@@ -125,6 +132,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe": op10_bpe,
     "op11_bit_packing": op11_bit_packing,
     "op12_lexical_search": op12_lexical_search,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 ORACLES: dict[str, str] = {
