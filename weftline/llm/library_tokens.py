@@ -47,8 +47,8 @@ def joined_ids(tokenizer, spans: list[bytes], together: int = 512) -> list[list[
 class SpanCache:
     """Ids of spans by ``encode``, a function of a list of spans, remembered from batch to batch."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]]):
-        self.encode = encode
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], most: int = CACHE):
+        self.encode, self.most = encode, most
         self.known: dict[bytes, tuple[int, ...]] = {}
 
     def ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -56,7 +56,7 @@ class SpanCache:
         at, _, which = distinct_spans(data, starts, ends)
         raw = data.tobytes()
         distinct = [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())]
-        if len(self.known) + len(distinct) > CACHE:
+        if len(self.known) + len(distinct) > self.most:
             self.known.clear()
         lists = list(map(self.known.get, distinct))
         missing = [i for i, ids in enumerate(lists) if ids is None]

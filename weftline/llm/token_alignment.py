@@ -19,17 +19,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.columns import pack_numbers, unpack_numbers
 from weftline.llm.library_tokens import SpanCache, batch_ids, library_tokenizer
 from weftline.llm.pretokens import pretokens
 from weftline.llm.spill import splittable, stored
 from weftline.llm.textarrays import chunks, ranges, text_bytes
 
-CHUNK = 3 << 20
+CHUNK = 1 << 20
+#: Spans that a Python worker remembers for each tokenizer.
+CACHE = 1 << 18
 #: Words after which a text is cut into another lane.
 LANE_WORDS = 48
 _SHIFT = 32
@@ -77,7 +79,7 @@ class ByteLevel:
         for token, i in vocabulary.items():
             tokens[i] = bytes(as_byte[c] for c in token) if all(c in as_byte for c in token) else token.encode()
         self.known = Tokens(tokens)
-        self.cache = SpanCache(lambda spans: _with_check(self.known, spans, batch_ids(tokenizer, spans)))
+        self.cache = SpanCache(lambda spans: _with_check(self.known, spans, batch_ids(tokenizer, spans)), CACHE)
 
     spans = staticmethod(pretokens)
 
@@ -103,7 +105,7 @@ class Pieces:
             if a < "\x80" and b < "\x80":
                 self.joins[ord(a), ord(b)] = True
         self.guard = self.model.encode(_GUARD)
-        self.cache = SpanCache(self._encoded)
+        self.cache = SpanCache(self._encoded, CACHE)
 
     def _encoded(self, spans: list[bytes]) -> list[list[int]]:
         # The model puts a space before a text; the guard takes it, so that a span is encoded as it stands.
@@ -201,16 +203,6 @@ def written(a: Tokens, b: Tokens, ids_a: np.ndarray, ids_b: np.ndarray, ends_a:
     return text.tobytes(), stops[place_b]
 
 
-def _planes(values: np.ndarray) -> bytes:
-    """Small numbers, compressed byte by byte of their four."""
-    return zstandard.ZstdCompressor(level=1).compress(values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
-
-
-def _from_planes(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
-
-
 def aligned_chunk(tokenizer_a: ByteLevel, tokenizer_b: Pieces, column: pa.Array, lane_words: int = LANE_WORDS) -> dict[str, np.ndarray | list[str]]:
     """Alignment of the texts of a chunk: numbers by text, and the links as pairs of ids with their text."""
     column = column.cast(pa.large_string())
@@ -272,7 +264,7 @@ def aligned_chunk(tokenizer_a: ByteLevel, tokenizer_b: Pieces, column: pa.Array,
 
 CHUNKS = (
     "chunk bigint, doc_id array<bigint>, n_a array<bigint>, n_b array<bigint>, n_groups array<bigint>, n_links array<bigint>, "
-    "groups_sha256 array<string>, pair array<bigint>, n array<int>, of binary, places binary, times binary"
+    "groups_sha256 array<string>, pair array<bigint>, n array<int>, held binary"
 )
 _NUMBERS = ("n_a", "n_b", "n_groups", "n_links")
 
@@ -299,11 +291,9 @@ def _chunk_rows(path_a: str, path_b: str, size: int):
                         one(x["groups_sha256"], pa.list_(pa.string())),
                         one(pair, longs),
                         one(n.astype(np.int32), pa.list_(pa.int32())),
-                        one(_planes(np.bincount(text, minlength=part.num_rows)), pa.binary()),
-                        one(_planes(steps), pa.binary()),
-                        one(_planes(times), pa.binary()),
+                        one(pack_numbers(np.bincount(text, minlength=part.num_rows), steps, times), pa.binary()),
                     ],
-                    ["chunk", "doc_id", *_NUMBERS, "groups_sha256", "pair", "n", "of", "places", "times"],
+                    ["chunk", "doc_id", *_NUMBERS, "groups_sha256", "pair", "n", "held"],
                 )
                 chunk += 1
 
@@ -322,7 +312,7 @@ def _sum_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = np.searchsorted(pair, found.field("pair").to_numpy())
                 total[at] = found.field("total").to_numpy()
                 best[at] = found.field("best").to_numpy()
-            of, steps, times = (_from_planes(row[name].as_py()) for name in ("of", "places", "times"))
+            of, steps, times = (x.astype(np.int64) for x in unpack_numbers(row["held"].as_py()))
             bounds = np.append(0, np.cumsum(of))
             run = np.cumsum(steps)
             # Steps add up from the first place of each text.
