@@ -6,6 +6,7 @@ import re
 import tempfile
 
 from urllib.parse import urlsplit
+from uuid import uuid4
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +40,13 @@ def stored(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+def written(frame: DataFrame) -> DataFrame:
+    """As ``stored``, as a compressed table: for many narrow rows."""
+    folder = f"{shared_folder(frame.sparkSession).rstrip('/')}/table-{uuid4().hex}"
+    frame.write.parquet(folder)
+    return frame.sparkSession.read.schema(frame.schema).parquet(folder)
+
+
 def splittable(grouped: DataFrame, key: str) -> DataFrame:
     """``grouped``, the result of a grouping by the integer ``key``, to be joined on it to rows with hot keys.
 
