@@ -63,3 +63,22 @@ def test_labels(spark):
     rows = docs.select("row.doc_id", "quality.kept").join(labels, "doc_id").collect()
     good, bad = [r.kept for r in rows if r.quality], [r.kept for r in rows if not r.quality]
     assert sum(good) >= 0.99 * len(good) and sum(bad) <= 0.05 * len(bad)
+
+
+def test_prose_of_other_scripts_and_wrapped_lines_is_kept(spark):
+    wrapped = "\n".join(["The keeper of the old lighthouse had seen many", "storms and few ships in the long winter when", "nobody came up the hill to ask him for"] * 1 + [f"the {w} lamp that burned above the grey water" for w in ("small", "green", "last", "only", "first", "other")] + ["and he did not mind."])
+    texts = {
+        "wrapped": wrapped,
+        "hindi": "\n".join(f"यह नदी बहुत पुरानी है और गाँव {w} पास बहती है।" for w in ("के", "से", "का", "की")),
+        "japanese": "\n".join(f"これは 長い 文章 です が 川 は 町 の {w} を 流れて います。" for w in ("北", "南", "東", "西")),
+        "arabic": "\n".join(f"هل رأيت النهر القديم الذي يمر قرب {w} في الشتاء؟" for w in ("القرية", "المدينة", "الجبل", "البحر")),
+        "quoted": "\n".join(f"«Das alte Haus am {w} steht leer, und niemand kommt.»" for w in ("Fluss", "Berg", "See", "Wald")),
+        "menu": "Home\nProducts\nAbout us\nContact\nSign in\n" * 6,
+        "titles": "\n".join(f"Ten Great Ways To Cook A Big {w}" for w in ("Fish", "Goose", "Cake", "Pie")),
+    }
+    rows = line_quality(spark.createDataFrame(list(texts.items()), "doc_id string, text string")).collect()
+    # The other measures don't matter here: some lines repeat on purpose.
+    lost = {r.row.doc_id: r.quality.lost_chars / r.quality.word_chars for r in rows}
+    assert {k: x <= 0.1 for k, x in lost.items()} == {k: k not in ("menu", "titles") for k in texts} and lost["menu"] == lost["titles"] == 1
+    # A wrapped line that a heading follows has no ending.
+    assert clean("one two three four five six\nHeading Here.")[1] == 22 and clean("one two three four five six\nseven.")[1] == 0

@@ -1,10 +1,12 @@
 """Preference pairs against plain Python."""
 
 import random
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
-from weftline.llm.preference import format_preferences, pairs_by_first_turn, pairs_with_cut_reply
+from weftline.llm.preference import format_preferences, loss_spans, turns_of, pairs_by_first_turn, pairs_with_cut_reply
 
 
 def plain(chosen, rejected):
@@ -56,3 +58,24 @@ def test_empty_and_null(spark):
     pairs = spark.createDataFrame([(None, None, None, [(0, "user", "a")]), (1, 1, [(0, "user", "a")], [(5, "user", "a")])], f"pair_id bigint, chosen_id bigint, chosen {turns}, rejected {turns}")
     got = {r.pair_id: (r.n_prompt_turns, r.prompt, r.chosen, r.rejected) for r in format_preferences(pairs).collect()}
     assert got == {None: (0, "", "", "<|user|>\na\n"), 1: (1, "<|user|>\na\n", "", "")}
+
+
+def test_rows_of_one_turn_go_by_role_and_text(spark):
+    rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "assistant", "z"), (1, 1, "user", None), (1, 0, "user", "a"), (1, None, "user", "first")]
+    turns = turns_of(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"), "conv_id").first().turns
+    assert [(t.turn, t.role, t.text) for t in turns] == [(None, "user", "first"), (0, "assistant", "z"), (0, "user", "a"), (0, "user", "b"), (1, "user", "")]
+
+
+def test_spans_of_many_turns(spark):
+    for n in (0, 1, 2, 3, 17, 16_000):
+        rows = [(i, ("user", "assistant")[i % 2] if i % 5 else "assistant", "x" * (i % 7)) for i in range(n)]
+        frame = spark.createDataFrame([(rows,)], "turns array<struct<turn:bigint,role:string,text:string>>")
+        started = time.perf_counter()
+        found = [tuple(x) for x in frame.select(loss_spans(F.col("turns")).alias("s")).first().s]
+        assert time.perf_counter() - started < 30
+        expected, at = [], 0
+        for _, role, text in rows:
+            at += len(role) + len(text) + 6
+            if role == "assistant":
+                expected.append((at - len(text) - 1, at))
+        assert found == expected

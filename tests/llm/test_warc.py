@@ -2,10 +2,14 @@
 
 import gzip
 import hashlib
+import io
 import json
 import zlib
 
+import pytest
+
 from weftline.llm import warc
+from weftline.llm.warc import inflated, records
 
 
 def expected(pages):
@@ -86,3 +90,38 @@ def test_members_in_any_blocks():
     import pyarrow as pa
 
     assert b"".join(warc.inflated(pa.BufferReader(stream))) == raw
+
+
+def stream(*parts):
+    return b"".join(head.encode("latin-1") + b"\r\n\r\n" + body + b"\r\n\r\n" for head, body in parts)
+
+
+def test_records_of_other_writers():
+    heads = [
+        "WARC/1.0\r\ncontent-length:3\r\nwarc-type:response",
+        "WARC/1.1\r\nCONTENT-LENGTH: 0\r\nWARC-Type:   metadata  ",
+        "WARC/1.1\r\nWARC-Target-URI: http://x/caf\xe9?a=b:c\r\nContent-Length: 5\r\nX-Note: one\r\n\ttwo",
+    ]
+    raw = stream(*zip(heads, (b"abc", b"", b"\r\n\r\n\xff")))
+    for size in (1, 7, len(raw)):
+        found = list(records(raw[i : i + size] for i in range(0, len(raw), size)))
+        assert [h["Content-Length"] for h, _ in found] == ["3", "0", "5"] and b"".join(x for _, x in found) == raw
+        assert [h.get("WARC-Type") for h, _ in found] == ["response", "metadata", None]
+        assert found[2][0]["warc-target-uri"].encode("utf-8", "surrogateescape") == b"http://x/caf\xe9?a=b:c"
+        assert found[2][0]["x-note"] == "one two"
+
+
+@pytest.mark.parametrize("raw", [b"HTTP/1.1 200\r\nContent-Length: 0\r\n\r\n\r\n\r\n", b"WARC/1.1\r\nWARC-Type: x\r\n\r\n", b"WARC/1.1\r\nno header\r\n\r\n", stream(("WARC/1.1\r\nContent-Length: 9", b"abc"))])
+def test_other_streams_are_errors(raw):
+    with pytest.raises(ValueError):
+        list(records(iter([raw])))
+
+
+def test_gzip_streams_that_end_early():
+    raw = stream(*[("WARC/1.1\r\nContent-Length: 3", b"abc")] * 50)
+    zipped = zlib.compressobj(6, zlib.DEFLATED, 31)
+    whole = zipped.compress(raw) + zipped.flush()
+    assert b"".join(inflated(io.BytesIO(whole + whole + b"\0" * 20))) == 2 * raw
+    for cut in (len(whole) - 1, len(whole) - 8, len(whole) // 2, len(whole) + 5):
+        with pytest.raises(ValueError, match="ends within a member"):
+            list(inflated(io.BytesIO((whole + whole)[:cut])))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.spill import stored
+from weftline.llm.spill import splittable, stored
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -22,10 +22,10 @@ def connected_components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         smallest = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("least"))
-        large = both.filter("b > a").join(smallest, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
+        large = both.filter("b > a").join(splittable(smallest, "a"), "a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
         lower = large.groupBy("a").agg(F.min("b").alias("least"))
         small = (
-            large.join(lower, "a")
+            large.join(splittable(lower, "a"), "a")
             .select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("least").alias("b")), F.struct("a", F.col("least").alias("b")))).alias("x"))
             .select("x.*")
             .filter("a <> b")

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,10 +40,19 @@ BOILERPLATE = (
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 SYMBOL_RUN = "[#*$%&|<>]{2,}"
-#: A line of prose ends so.
-ENDING = r"""[.!?…"'”»):;][\x20\x09-\x0D]*$"""
+# Marks that end a sentence in the scripts of the world, those that close or join one, and a line's last
+# characters that show it to be prose.
+SENTENCE_ENDS = ".!?…։؟۔।॥။၏።፧។៕᙮᠃‼‽⁇⁈⁉⸮。．！？｡︒﹒﹖﹗꓿꘎꘏꛳꛷꡶꡷꣎꣏꤯꧈꧉꩝꩞꩟꫰꫱꯫"
+CLOSERS = "\"'”’»›)]}）］｝」』】〕〉》｣:;：；、，,"
+ENDING = rf"""[{re.escape(SENTENCE_ENDS + CLOSERS)}][\x20\x09-\x0D]*$"""
+#: A line with other endings fails if it has fewer words, or if no line follows that may go on with it.
+SHORT_LINE = 6
+
+#: A line that may go on with the one before: it begins with no capital letter, bullet or mark of a table.
+GOES_ON = r"^[\x20\x09-\x0D]*[^\x20\x09-\x0D\p{Lu}#*|<>•\-]"
 
 _WORD, _SYMBOL_RUN, _ENDING = re.compile(WORD), re.compile(SYMBOL_RUN), re.compile(ENDING.replace("$", r"\Z"))
+_GOES_ON = regex.compile(GOES_ON)
 _BOILERPLATE = re.compile("|".join(map(re.escape, BOILERPLATE)))
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _IS_SYMBOL = np.isin(np.arange(256), [ord(c) for c in SYMBOLS])
@@ -53,10 +63,13 @@ QUALITY = (
 )
 
 
-def line_fails(line: str, found: list[str]) -> bool:
-    """Whether a line with the words ``found`` fails a rule: punctuation, navigation or boilerplate."""
+def line_fails(line: str, found: list[str], after: str = "") -> bool:
+    """Whether a line with the words ``found`` fails a rule: punctuation, navigation or boilerplate.
+
+    A line without an ending of prose passes if it is long and the line right ``after`` it may go on with the sentence.
+    """
     return (
-        not _ENDING.search(line)
+        not (_ENDING.search(line) or (len(found) >= SHORT_LINE and _GOES_ON.search(after)))
         or 2 * sum(word.endswith("!!") for word in found) > len(found)
         or line.count("|") >= 2
         or 2 * len(_SYMBOL_RUN.findall(line)) > len(found)
@@ -67,12 +80,13 @@ def line_fails(line: str, found: list[str]) -> bool:
 def clean(text: str) -> tuple[int, int, str]:
     """Of a text: lines with a word that equal an earlier one, characters in words of failed lines, and the other lines."""
     seen, repeats, lost, kept = set(), 0, 0, []
-    for line in text.split("\n"):
+    lines = text.split("\n")
+    for line, after in zip(lines, [*lines[1:], ""]):
         found = _WORD.findall(line)
         if found:
             repeats += line in seen
             seen.add(line)
-            if line_fails(line, found):
+            if line_fails(line, found, after):
                 lost += sum(map(len, found))
                 continue
         kept.append(line)
@@ -152,16 +166,17 @@ SQL = f"""
     WITH texts AS (
         SELECT doc_id, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents
     ), lines AS (
-        SELECT doc_id, unnest(string_split(body, chr(10))) AS line FROM texts
+        SELECT doc_id, parts[k] AS line, coalesce(parts[k + 1], '') AS after
+        FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS k FROM (SELECT doc_id, string_split(body, chr(10)) AS parts FROM texts))
     ), judged AS (
         SELECT doc_id, line, ws, list_sum(list_transform(ws, lambda w: length(w))) AS chars,
-               NOT regexp_matches(line, {_quoted(ENDING)})
+               NOT (regexp_matches(line, {_quoted(ENDING)}) OR (len(ws) >= {SHORT_LINE} AND regexp_matches(after, {_quoted(GOES_ON)})))
                OR 2 * len(list_filter(ws, lambda w: ends_with(w, '!!'))) > len(ws)
                OR length(regexp_replace(line, '[^|]', '', 'g')) >= 2
                OR 2 * len(regexp_extract_all(line, '{SYMBOL_RUN}')) > len(ws)
                OR regexp_matches(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{"|".join(BOILERPLATE)}')
                AS fails
-        FROM (SELECT doc_id, line, regexp_extract_all(line, '{WORD}') AS ws FROM lines)
+        FROM (SELECT doc_id, line, after, regexp_extract_all(line, '{WORD}') AS ws FROM lines)
         WHERE len(ws) > 0
     ), by_line AS (
         SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines, sum(CASE WHEN fails THEN chars ELSE 0 END) AS lost

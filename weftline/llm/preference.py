@@ -15,7 +15,10 @@ SALT_ROWS = 1000
 
 
 def turns_of(conversations: DataFrame, key: str) -> DataFrame:
-    """Turns of each conversation in order: (key, turns). Repeated rows count once; a null turn comes first."""
+    """Turns of each conversation in order: (key, turns). Repeated rows count once; a null turn comes first.
+
+    Different rows of one turn are all kept, by role and then by text; a null role or text counts as empty.
+    """
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     return conversations.groupBy(key).agg(F.array_sort(F.collect_set(turn)).alias("turns"))
 
@@ -29,16 +32,39 @@ def render(turns: Column) -> Column:
 
 
 def loss_spans(turns: Column) -> Column:
-    """Character spans of the rendered turns that count for the loss: the texts of the assistant and the line ends after them."""
-    sizes = F.transform(turns, lambda t: F.length(rendered(t)))
-    start = lambda i: F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), lambda a, b: a + b)
-    spans = F.transform(
-        turns,
-        lambda t, i: F.struct(
-            t["role"].alias("role"), (start(i + 1) - F.length(t["text"]) - 1).alias("from"), start(i + 1).alias("to")
-        ),
-    )
-    return F.transform(F.filter(spans, lambda s: s["role"] == "assistant"), lambda s: F.struct(s["from"], s["to"]))
+    """Character spans of the rendered turns that count for the loss: the texts of the assistant and the line ends after them.
+
+    The length so far runs along the turns, which are taken in blocks of about the root of their number: no array
+    that grows with the conversation is copied for every turn.
+    """
+    size = lambda t: F.length(t["role"]) + F.length(t["text"]) + 6
+    none = F.array().cast("array<struct<from:int,to:int>>")
+    n = F.greatest(F.size(turns), F.lit(1))
+    width = F.ceil(F.sqrt(n.cast("double"))).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), n - 1, width), lambda k: F.slice(turns, k + 1, width))
+
+    def spans(block: Column, start: Column) -> Column:
+        step = lambda s, t: F.struct(
+            (s["at"] + size(t)).alias("at"),
+            F.when(
+                t["role"] == "assistant",
+                F.concat(s["spans"], F.array(F.struct((s["at"] + size(t) - F.length(t["text"]) - 1).alias("from"), (s["at"] + size(t)).alias("to")))),
+            )
+            .otherwise(s["spans"])
+            .alias("spans"),
+        )
+        return F.aggregate(block, F.struct(start.alias("at"), none.alias("spans")), step)
+
+    def add(state: Column, block: Column) -> Column:
+        found = F.array(spans(block, state["at"]))
+        return F.aggregate(
+            found,
+            state,
+            lambda s, x: F.struct(x["at"].alias("at"), F.concat(s["parts"], F.array(x["spans"])).alias("parts")),
+        )
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<from:int,to:int>>>").alias("parts"))
+    return F.flatten(F.aggregate(blocks, start, add)["parts"])
 
 
 def format_preferences(pairs: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ from weftline.llm.textarrays import chunks, ranges, text_bytes
 
 CHUNK = 1 << 20
 #: Spans that a Python worker remembers for each tokenizer.
-CACHE = 1 << 18
+CACHE = 1 << 19
 #: Words after which a text is cut into another lane.
 LANE_WORDS = 48
 _SHIFT = 32

@@ -29,7 +29,7 @@ RULES = (
 
 # Words of the labelled hosts, first those to block.
 BLOCK_HOSTS = ("adult-x", "ads-track", "bet-big", "casino-win", "cheap-pills", "free-bets", "free-casino", "hot-adult", "pills-shop", "poker-win", "spam-farm", "track-ads", "win-bets", "xxx-cams")
-ALLOW_HOSTS = ("books", "daily-news", "garden", "history", "library", "museum", "recipes", "science", "teaching", "thering", "theron", "tiontion", "travel-notes", "weather")
+ALLOW_HOSTS = ("books", "daily-news", "garden", "history", "library", "museum", "recipes", "science", "teaching", "orchard", "pottery", "sailing", "travel-notes", "weather")
 PREFIXES = ("", "www.", "m.", "blog.")
 PATHS = ("/en/12", "/fr/340/", "/de/77.html", "/es/5?page=2")
 

@@ -47,17 +47,54 @@ def record(page_id: int | None, url: str | None, kind: str, digest: str, refers_
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def records(blocks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and raw bytes of each record of a WARC stream that comes in ``blocks``."""
-    held = bytearray()
+class Headers(dict):
+    """Header lines by name; names differ by more than case."""
+
+    def __init__(self, lines: list[bytes]):
+        super().__init__()
+        name = ""
+        for line in lines:
+            # Bytes that are no UTF-8 are kept as they are.
+            text = line.decode("utf-8", "surrogateescape")
+            if text[:1] in (" ", "\t") and name:
+                self[name] = f"{super().__getitem__(name)} {text.strip()}"
+                continue
+            name, colon, value = text.partition(":")
+            name = name.strip().lower()
+            if not colon:
+                raise ValueError(f"no header line: {text!r}")
+            super().__setitem__(name, value.strip())
+
+    def __getitem__(self, name: str) -> str:
+        return super().__getitem__(name.lower())
+
+    def __setitem__(self, name: str, value: str) -> None:
+        super().__setitem__(name.lower(), value)
+
+    def get(self, name: str, other: str | None = None) -> str | None:
+        return super().get(name.lower(), other)
+
+
+def records(blocks: Iterator[bytes]) -> Iterator[tuple[Headers, bytes]]:
+    """Headers and raw bytes of each record of a WARC stream that comes in ``blocks``.
+
+    Any case of header names, with or without a space after the colon, and folded lines are taken; bytes beyond UTF-8 are kept
+    as surrogates. A stream that ends within a record, or a record without a length, is an error.
+    """
+    held, wanted = bytearray(), 0
     for block in blocks:
         held += block
-        at = 0
+        if len(held) < wanted:
+            continue
+        at = wanted = 0
         while (head := held.find(b"\r\n\r\n", at)) >= 0:
-            lines = held[at:head].decode().split("\r\n")
-            headers = dict(line.split(": ", 1) for line in lines[1:])
+            version, *lines = bytes(held[at:head]).split(b"\r\n")
+            headers = Headers(lines)
+            if not version.startswith(b"WARC/") or not (headers.get("Content-Length") or "").isdigit():
+                raise ValueError("no WARC record begins here")
             end = head + 4 + int(headers["Content-Length"]) + 4
             if len(held) < end:
+                wanted = end - at
                 break
             yield headers, bytes(held[at:end])
             at = end
@@ -67,18 +104,22 @@ def records(blocks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def inflated(source) -> Iterator[bytes]:
-    """Blocks of a gzip stream of one or more members."""
-    unzip = zlib.decompressobj(31)
+    """Blocks of a gzip stream of one or more members; an error if the last one has no end."""
+    unzip, within = zlib.decompressobj(31), False
     while block := source.read(_BLOCK):
         while block:
+            within = True
             if out := unzip.decompress(block, _BLOCK):
                 yield out
             if unzip.eof:
-                block, unzip = unzip.unused_data, zlib.decompressobj(31)
+                # Zeros may fill up the file after a member.
+                block, unzip, within = unzip.unused_data.lstrip(b"\0"), zlib.decompressobj(31), False
             else:
                 block = unzip.unconsumed_tail
     if out := unzip.flush():
         yield out
+    if within:
+        raise ValueError("the gzip stream ends within a member")
 
 
 def _write_rows(folder: str, archive_bytes: int):
