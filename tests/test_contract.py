@@ -16,9 +16,11 @@ SCALES = ("sf0.001", "sf0.01", "sf0.1")
 WITHOUT_SQL = {
     "op3_prob_minhash": "signatures and components have no SQL; compared to all pairs in its tests",
     "op4_iblt": "its hashes have no SQL function in DuckDB; compared to plain sets in its tests",
-    "op5_chaining": "chaining has no SQL; compared to a plain search in its tests",
+    "op5_chaining": "chaining has no SQL; its tests hold the best chain to all pairs and search planted passages",
     "op6_best_fit": "tokens and packing have no SQL; compared to the tokenizer in its tests",
     "op10_bpe": "tokens have no SQL; compared to the tiktoken library in its tests",
+    "op11_bit_packing": "tokens and files have no SQL; compared to the tokenizer in its tests",
+    "op13_token_alignment": "tokens have no SQL; compared to a walk over the libraries' tokens in its tests",
     "pipeline": "holds stages without SQL; compared to plain versions in its tests",
 }
 
