@@ -9,16 +9,17 @@ from __future__ import annotations
 from collections.abc import Callable
 from uuid import uuid4
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm.best_fit import packed
 from weftline.llm.chaining import without_passages
 from weftline.llm.line_quality import kept_documents
 from weftline.llm.prob_minhash import without_near_duplicates
-from weftline.llm.spill import shared_folder
+from weftline.llm.spill import filesystem, shared_folder
 from weftline.sources import read_table
 
+import public_tokenizers  # isort: skip
+
 TOKENIZER = "byte_bpe_50k.json"
 
 
@@ -54,10 +55,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order over the documents table; each result is written and read back as the next one's input."""
+    """The stages in order over the documents table; each result is written and read back as the next one's input.
+
+    What a stage has written goes once the next stage's result is written.
+    """
     docs = read_table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid4().hex}"
+    store, root = filesystem(folder)
+    before = None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            store.delete_dir(f"{root}/{before}")
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,6 +2,11 @@
 
 import datetime
 import decimal
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -118,3 +123,17 @@ def test_entry(spark):
 def test_unknown_table(spark):
     with pytest.raises(ValueError, match="unknown table 'invoices'"):
         read_table(spark, "/root/testdata/sf0.001", "invoices")
+
+
+def test_entry_imports_without_the_llm_modules(tmp_path):
+    root = Path(contract.__file__).resolve().parent
+    for kept in ("nothing", "an empty folder", "the pipeline"):
+        copy = tmp_path / kept
+        shutil.copytree(root / "weftline", copy / "weftline", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+        shutil.copy(root / "__spark_entry__.py", copy)
+        if kept == "an empty folder":
+            (copy / "weftline" / "llm" / "__pycache__").mkdir(parents=True)
+        if kept != "nothing" and (root / "corpus_pipeline.py").exists():
+            shutil.copy(root / "corpus_pipeline.py", copy)
+        code = "import __spark_entry__ as e; assert set(e.queries()) == set(e.oracle_sql()) == {'nation_revenue'}"
+        subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, env={**os.environ, "PYTHONPATH": str(copy)})
