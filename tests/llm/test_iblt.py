@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.llm.iblt import ATTEMPTS, _peeled, _signed, edited_pairs, fingerprints, likeness, paragraph_digests
+from weftline.llm.iblt import ATTEMPTS, _peeled, _signed, _sketch, decoded, digest_likeness, edited_pairs, encoded, fingerprints, likeness, paragraph_digests, sketch
 
 
 def jaccard(a, b):
@@ -21,15 +21,50 @@ def test_likeness_is_exact(spark):
         rows.append((i, rng.sample(pool, rng.randint(0, len(pool))), rng.sample(pool, rng.randint(0, len(pool)))))
     rows += [(1000, [], []), (1001, [5], []), (1002, [0, -1], [0])]
     frame = spark.createDataFrame(rows, "k int, a array<bigint>, b array<bigint>")
-    got = {r.k: r.near for r in frame.select("k", likeness(F.col("a"), F.col("b")).alias("near")).collect()}
-    assert got == {k: pytest.approx(jaccard(a, b)) for k, a, b in rows}
+    true = {k: pytest.approx(jaccard(a, b)) for k, a, b in rows}
+    got = {r.k: r.near for r in frame.select("k", digest_likeness(F.col("a"), F.col("b")).alias("near")).collect()}
+    assert got == true
+    # As stored: from two strings, after the digests are gone.
+    kept = frame.select("k", encoded(sketch(F.col("a"))).alias("a"), encoded(sketch(F.col("b"))).alias("b"))
+    got = {r.k: r.near for r in kept.select("k", likeness(decoded(F.col("a")), decoded(F.col("b"))).alias("near")).collect()}
+    assert got == true
+
+
+def test_a_fingerprint_gives_its_digests_back(spark):
+    rng = random.Random(3)
+    rows = [(i, [rng.getrandbits(64) - 2**63 for _ in range(n)]) for i, n in enumerate([0, 1, 2, 4, 5, 8, 9, 100, 2000])]
+    frame = spark.createDataFrame(rows, "k int, a array<bigint>")
+    text = {r.k: r.t for r in frame.select("k", encoded(sketch(F.col("a"))).alias("t")).collect()}
+    for k, digests in rows:
+        blocks = text[k].split(";")
+        assert len(blocks) & (len(blocks) - 1) == 0 and len(blocks) * 4 >= len(digests)
+        alone = {c.split(":")[1] for b in blocks for c in b.split(".") if c.startswith("1:")}
+        assert {int(x, 16) for x in alone} == {d % 2**64 for d in digests}
+
+
+def test_stored_fingerprints_are_what_is_compared(spark, tmp_path):
+    rng = random.Random(4)
+    docs = [(i, "\n".join(f"line {rng.randint(0, 30)}." for _ in range(rng.choice([0, 1, 6, 30, 31, 150])))) for i in range(60)]
+    fingerprints(spark.createDataFrame(docs, "doc_id bigint, text string")).write.parquet(str(tmp_path / "f"))
+    rows = spark.read.parquet(str(tmp_path / "f"))
+    after = {i: docs[(k + 1) % len(docs)][0] for k, (i, _) in enumerate(docs)}
+    links = spark.createDataFrame(list(after.items()), "doc_id bigint, next_id bigint")
+    other = rows.select(F.col("doc_id").alias("next_id"), F.col("fingerprint").alias("next_fingerprint"))
+    again = rows.join(links, "doc_id").join(other, "next_id").select(
+        "near_edited",
+        "near_next",
+        likeness(decoded(F.col("fingerprint")), decoded(F.col("edited_fingerprint"))).alias("edited_again"),
+        likeness(decoded(F.col("fingerprint")), decoded(F.col("next_fingerprint"))).alias("next_again"),
+    ).collect()
+    assert len(again) == 60 and all(r.near_edited == r.edited_again and r.near_next == r.next_again for r in again)
+    assert any(0 < r.near_edited < 1 for r in again) and any(0 < r.near_next < 1 for r in again)
 
 
 def test_peeling_fails_when_too_small_and_recovers_when_larger(spark):
     rng = random.Random(1)
     rows = [(i, [rng.getrandbits(63) for _ in range(14)]) for i in range(40)]
     frame = spark.createDataFrame(rows, "k int, a array<bigint>")
-    got = frame.select(*[_peeled(_signed(F.col("a"), 1), s).alias(f"s{s}") for s in ATTEMPTS]).collect()
+    got = frame.select(*[_peeled(_sketch(_signed(F.col("a"), 1), F.lit(s))).alias(f"s{s}") for s in ATTEMPTS]).collect()
     assert all(r.s3 is None for r in got) and sum(r.s48 is not None for r in got) >= 38
     assert all(x is None or tuple(x) == (14, 0) for r in got for x in r)
 

@@ -3,13 +3,19 @@
 A sketch has three tables of cells. A digest falls into one cell of each; a cell holds the number of
 its digests and the exclusive or of them and of their checks. Subtracting the sketches of two
 versions cancels what they share. Peeling then takes a cell with one digest left, notes which
-version it is from, and takes it out of its other cells. A sketch too small to be peeled to
-the end is built again twice as large. Digests are dealt into blocks with small sketches of
-their own, so that the work grows in proportion to the text. All of it is SQL on one row.
+version it is from, and takes it out of its other cells.
+
+A fingerprint is a text's sketch: its digests are dealt into blocks of about four with a sketch each, so
+that the work grows in proportion to the text. A block is built larger until each of its digests is
+alone in a cell, so its digests can be read back. Two fingerprints are compared by what they hold and nothing
+else: blocks are subtracted and peeled; where that fails, both are built again twice as large from
+the digests they give back. All of it is SQL on one row.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,9 +23,10 @@ from weftline.llm.spill import stored
 
 #: A line is cut after a sentence once a paragraph has so many characters.
 PARAGRAPH = 160
-#: Cells in each of the three tables of the fingerprint that is returned.
-FINGERPRINT_CELLS = 4
-#: Digests of both versions in a block, on average, and the cells in a table at each attempt.
+#: Digests of one text in a block, at most on average, and the cells in a table of a fingerprint at each attempt.
+OWN = 4
+SIZES = (6, 12, 24, 48, 96, 192)
+#: Digests of two versions in a block, on average, and the cells in a table at each attempt, where they are built again.
 BLOCK = 8
 ATTEMPTS = (3, 6, 12, 24, 48)
 PEELS = 12
@@ -32,8 +39,13 @@ def paragraph_digests(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda p: F.xxhash64(p)))
 
 
-def _slot(digest: Column, table: Column, size: int) -> Column:
-    return F.pmod(F.xxhash64(digest, table), F.lit(size))
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _slot(digest: Column, table: Column, size: Column) -> Column:
+    return F.pmod(F.xxhash64(digest, table), size)
 
 
 def _check(digest: Column) -> Column:
@@ -48,53 +60,74 @@ def _zero() -> Column:
     return _cell(F.lit(0), F.lit(0), F.lit(0))
 
 
-def sketch_table(items: Column, table: Column, size: int) -> Column:
+def sketch_table(items: Column, table: Column, size: Column) -> Column:
     """Cells of one table for ``items``, structs of digest and sign."""
     add = lambda cell, x: _cell(cell["n"] + x["sign"], cell["key"].bitwiseXOR(x["digest"]), cell["check"].bitwiseXOR(_check(x["digest"])))
     placed = F.transform(items, lambda x: F.struct(x["digest"].alias("digest"), x["sign"].alias("sign"), _slot(x["digest"], table, size).alias("slot")))
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(size - 1)),
-        lambda i: F.aggregate(F.filter(placed, lambda x: x["slot"] == i), _zero(), add),
-    )
+    cells = lambda all_: F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.aggregate(F.filter(all_, lambda x: x["slot"] == i), _zero(), add))
+    return _bound(placed, cells)
 
 
 def _signed(digests: Column, sign: int) -> Column:
     return F.transform(digests, lambda d: F.struct(d.alias("digest"), F.lit(sign).alias("sign")))
 
 
-def _peeled(items: Column, size: int) -> Column:
-    """Digests of each sign that peeling recovers from a block, or null if cells are left."""
+def _sketch(items: Column, size: Column) -> Column:
+    """The cells of all three tables."""
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda t: sketch_table(items, t, size)))
+
+
+def _first(sizes: tuple[int, ...], attempt: Callable[[Column], Column], kind: str) -> Column:
+    """``attempt`` at the first size for which it is not null."""
+    tried = lambda found, size: F.coalesce(found, attempt(size))
+    return F.aggregate(F.array(*map(F.lit, sizes)), F.lit(None).cast(kind), tried)
+
+
+def _sum(a: Column, b: Column, sign: int = 1) -> Column:
+    return _cell(a["n"] + b["n"] * sign, a["key"].bitwiseXOR(b["key"]), a["check"].bitwiseXOR(b["check"]))
+
+
+def _peeled(cells: Column) -> Column:
+    """Number of digests of each sign that peeling recovers from a sketch, or null if cells are left."""
+    size = (F.size(cells) / 3).cast("int")
 
     def peel(state: Column, step: Column) -> Column:
         alone = lambda c: (F.abs(c["n"]) == 1) & (c["check"] == _check(c["key"]))
-        found = F.filter(state["first"], alone)
 
-        def without(cells: Column, table: Column) -> Column:
-            less = lambda c, p: _cell(c["n"] - p["n"], c["key"].bitwiseXOR(p["key"]), c["check"].bitwiseXOR(p["check"]))
-            return F.transform(cells, lambda c, i: F.aggregate(F.filter(found, lambda p: _slot(p["key"], table, size) == i), c, less))
+        def without(cells: Column, found: Column, table: Column) -> Column:
+            return F.transform(cells, lambda c, i: F.aggregate(F.filter(found, lambda p: _slot(p["key"], table, state["size"]) == i), c, lambda c, p: _sum(c, p, -1)))
 
         # The tables take turns: within one, every digest is in one cell only.
-        return F.struct(
-            without(state["second"], F.pmod(step + 1, F.lit(3))).alias("first"),
-            without(state["third"], F.pmod(step + 2, F.lit(3))).alias("second"),
-            F.transform(state["first"], lambda c: F.when(alone(c), _zero()).otherwise(c)).alias("third"),
-            (state["added"] + F.size(F.filter(found, lambda p: p["n"] == 1))).alias("added"),
-            (state["gone"] + F.size(F.filter(found, lambda p: p["n"] == -1))).alias("gone"),
-        )
+        def turned(found: Column) -> Column:
+            some = F.size(found) > 0
+            return F.struct(
+                state["size"].alias("size"),
+                F.when(some, without(state["second"], found, F.pmod(step + 1, F.lit(3)))).otherwise(state["second"]).alias("first"),
+                F.when(some, without(state["third"], found, F.pmod(step + 2, F.lit(3)))).otherwise(state["third"]).alias("second"),
+                F.when(some, F.transform(state["first"], lambda c: F.when(alone(c), _zero()).otherwise(c))).otherwise(state["first"]).alias("third"),
+                (state["added"] + F.size(F.filter(found, lambda p: p["n"] == 1))).alias("added"),
+                (state["gone"] + F.size(F.filter(found, lambda p: p["n"] == -1))).alias("gone"),
+            )
+
+        return _bound(F.filter(state["first"], alone), turned)
 
     def end(state: Column) -> Column:
-        full = lambda c: (c["n"] != 0) | (c["key"] != 0) | (c["check"] != 0)
-        left = F.exists(state["first"], full) | F.exists(state["second"], full) | F.exists(state["third"], full)
+        left = F.exists(F.concat(state["first"], state["second"], state["third"]), _full)
         return F.when(~left, F.struct(state["added"].alias("added"), state["gone"].alias("gone")))
 
     start = F.struct(
-        *[sketch_table(items, F.lit(t), size).alias(name) for t, name in enumerate(("first", "second", "third"))],
+        size.alias("size"),
+        *[F.slice(cells, size * t + 1, size).alias(name) for t, name in enumerate(("first", "second", "third"))],
         F.lit(0).alias("added"),
         F.lit(0).alias("gone"),
     )
     return F.aggregate(F.sequence(F.lit(0), F.lit(PEELS - 1)), start, peel, end)
 
 
+def _full(cell: Column) -> Column:
+    return (cell["n"] != 0) | (cell["key"] != 0) | (cell["check"] != 0)
+
+
 def _compared(items: Column) -> Column:
     """The digests themselves compared, for a block that no sketch could be peeled for."""
     side = lambda sign: F.transform(F.filter(items, lambda x: x["sign"] == sign), lambda x: x["digest"])
@@ -103,43 +136,123 @@ def _compared(items: Column) -> Column:
     )
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Share of the digests of ``a`` and ``b`` that are in both, from the peeled difference of their sketches; 1 without any."""
-    n = F.size(a) + F.size(b)
-    blocks = F.floor(n / BLOCK).cast("int") + 1
-    items = F.transform(
-        F.concat(_signed(a, 1), _signed(b, -1)),
+def _difference(items: Column) -> Column:
+    """How many digests only one version has, from the smallest sketch of ``items`` that peels."""
+    attempt = lambda size: _bound(_sketch(items, size), _peeled)
+    return F.coalesce(_first(ATTEMPTS, attempt, "struct<added:int,gone:int>"), _compared(items))
+
+
+def _dealt(items: Column, blocks: Column) -> Column:
+    """``items``, structs of digest and sign, by the hashes of their digests: one array for each of ``blocks``."""
+    placed = F.transform(
+        items,
         lambda x: F.struct(x["digest"].alias("digest"), x["sign"].alias("sign"), F.pmod(F.xxhash64(x["digest"], F.lit(7)), blocks).cast("int").alias("block")),
     )
     # Two levels keep the splitting cheap for long texts.
-    groups = F.transform(
+    groups = lambda all_: F.transform(
         F.sequence(F.lit(0), F.floor((blocks - 1) / _GROUP).cast("int")),
-        lambda g: F.struct(g.alias("g"), F.filter(items, lambda x: F.floor(x["block"] / _GROUP) == g).alias("x")),
+        lambda g: F.struct(g.alias("g"), F.filter(all_, lambda x: F.floor(x["block"] / _GROUP) == g).alias("x")),
     )
-    split = F.flatten(
+    return F.flatten(
         F.transform(
-            groups,
+            _bound(placed, groups),
             lambda g: F.transform(
                 F.sequence(g["g"] * _GROUP, F.least(g["g"] * _GROUP + _GROUP - 1, blocks - 1)),
                 lambda i: F.filter(g["x"], lambda x: x["block"] == i),
             ),
         )
     )
-    found = F.transform(split, lambda x: F.coalesce(*[_peeled(x, size) for size in ATTEMPTS], _compared(x)))
-    total = F.aggregate(
+
+
+def _total(found: Column) -> Column:
+    return F.aggregate(
         found,
         F.struct(F.lit(0).alias("added"), F.lit(0).alias("gone")),
         lambda s, x: F.struct((s["added"] + x["added"]).alias("added"), (s["gone"] + x["gone"]).alias("gone")),
     )
-    share = lambda d: (F.size(a) - d["added"]) / (F.size(a) + d["gone"])
-    only = F.transform(F.array(total), lambda d: F.when(n == 0, 1.0).otherwise(share(d)))
-    return F.get(only, F.lit(0))
 
 
-def fingerprint(digests: Column) -> Column:
-    """The sketch of fixed size as text, cell by cell."""
-    tables = [sketch_table(_signed(digests, 1), F.lit(t), FINGERPRINT_CELLS) for t in range(3)]
-    return F.concat_ws(".", F.transform(F.concat(*tables), lambda c: F.concat_ws(":", F.hex(c["n"]), F.hex(c["key"]))))
+def _share(n_a: Column, n_b: Column, total: Column) -> Column:
+    return _bound(total, lambda d: F.when(n_a + n_b == 0, 1.0).otherwise((n_a - d["added"]) / (n_a + d["gone"])))
+
+
+def digest_likeness(a: Column, b: Column) -> Column:
+    """Share of the digests of ``a`` and ``b`` that are in both, from the peeled difference of sketches of both; 1 without any."""
+    n = F.size(a) + F.size(b)
+    split = _dealt(F.concat(_signed(a, 1), _signed(b, -1)), F.floor(n / BLOCK).cast("int") + 1)
+    return _share(F.size(a), F.size(b), _total(F.transform(split, _difference)))
+
+
+def _digests(block: Column) -> Column:
+    """The digests of a block of a fingerprint: each is alone in one of its cells."""
+    return F.array_distinct(F.transform(F.filter(block, lambda c: c["n"] == 1), lambda c: c["key"]))
+
+
+def sketch(digests: Column) -> Column:
+    """The fingerprint as an array of blocks, each the cells of its three tables.
+
+    The number of blocks is a power of two that grows with the digests. A block takes the least of ``SIZES`` at which every
+    digest is alone in a cell, so that ``_digests`` gives all back.
+    """
+    least = F.floor(F.greatest(F.size(digests) - 1, F.lit(0)) / OWN)
+    blocks = F.when(least == 0, 1).otherwise(F.call_function("shiftleft", F.lit(1), F.length(F.bin(least))))
+
+    def block(items: Column) -> Column:
+        whole = lambda cells, size: F.when((F.size(_digests(cells)) == F.size(items)) | (size == SIZES[-1]), cells)
+        attempt = lambda size: _bound(_sketch(items, size), lambda cells: whole(cells, size))
+        return _first(SIZES, attempt, "array<struct<n:int,key:bigint,check:bigint>>")
+
+    return _bound(blocks, lambda b: F.transform(_dealt(_signed(digests, 1), b), block))
+
+
+def encoded(blocks: Column) -> Column:
+    """A fingerprint as text: blocks end in ``;``, cells in ``.``; a cell is its number, key and check in hexadecimal, or empty."""
+    cell = lambda c: F.when(_full(c), F.concat_ws(":", F.hex(c["n"].cast("bigint")), F.hex(c["key"]), F.hex(c["check"]))).otherwise("")
+    return F.array_join(F.transform(blocks, lambda b: F.array_join(F.transform(b, cell), ".")), ";")
+
+
+def decoded(text: Column) -> Column:
+    """The blocks of a fingerprint that ``encoded`` wrote."""
+    number = lambda parts, i: F.conv(F.get(parts, F.lit(i)), 16, -10).cast("bigint")
+    cell = lambda c: F.when(c == "", _zero()).otherwise(_bound(F.split(c, ":"), lambda p: _cell(number(p, 0), number(p, 1), number(p, 2))))
+    return F.transform(F.split(text, ";"), lambda b: F.transform(F.split(b, r"\."), cell))
+
+
+def _folded(block: Column, size: Column) -> Column:
+    """A block with ``size`` cells a table, a divisor of what it has: cells of equal place modulo ``size`` add up."""
+    times = (F.size(block) / (size * 3)).cast("int")
+    cell = lambda k: F.aggregate(
+        F.sequence(F.lit(0), times - 1),
+        _zero(),
+        lambda c, r: _sum(c, F.get(block, (F.floor(k / size) * size * times + F.pmod(k, size) + r * size).cast("int"))),
+    )
+    return F.when(times == 1, block).otherwise(F.transform(F.sequence(F.lit(0), size * 3 - 1), cell))
+
+
+def _subtracted(x: Column, y: Column) -> Column:
+    size = (F.least(F.size(x), F.size(y)) / 3).cast("int")
+    return F.zip_with(_folded(x, size), _folded(y, size), lambda a, b: _sum(a, b, -1))
+
+
+def likeness(a: Column, b: Column) -> Column:
+    """Share of the digests of two fingerprints that are in both, from the fingerprints alone; 1 without any.
+
+    With as many blocks on both sides, each is subtracted from its partner and peeled. Where cells are left, or where the numbers of blocks differ, the
+    smaller one is too small for the difference, and both are built again, larger, from the digests they give back.
+    """
+    number = lambda blocks: F.aggregate(
+        blocks, F.lit(0), lambda n, x: n + F.aggregate(F.slice(x, F.lit(1), (F.size(x) / 3).cast("int")), F.lit(0), lambda m, c: m + c["n"])
+    )
+    none = F.struct(F.lit(0).alias("added"), F.lit(0).alias("gone"))
+
+    def difference(x: Column, y: Column) -> Column:
+        again = F.concat(_signed(_digests(x), 1), _signed(_digests(y), -1))
+        return F.when(x == y, none).otherwise(F.coalesce(_bound(_subtracted(x, y), _peeled), _bound(again, _difference)))
+
+    alike = lambda: _share(number(a), number(b), _total(F.zip_with(a, b, difference)))
+    all_ = lambda blocks: F.flatten(F.transform(blocks, _digests))
+    larger = _bound(F.struct(all_(a).alias("a"), all_(b).alias("b")), lambda x: digest_likeness(x["a"], x["b"]))
+    return F.when(F.size(a) == F.size(b), alike()).otherwise(larger)
 
 
 def following(docs: DataFrame) -> DataFrame:
@@ -202,13 +315,15 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next), one row for each row of
     ``docs``; see ``edited_pairs`` for nulls and repeated rows. Other columns are ignored.
     """
-    pairs = edited_pairs(docs)
-    return pairs.select(
+    sketches = edited_pairs(docs).select(
+        "doc_id", "n_chars", "edited_sha256", *[sketch(F.col(name)).alias(name) for name in ("own", "edited", "following")]
+    )
+    return sketches.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
-        fingerprint(F.col("own")).alias("fingerprint"),
-        fingerprint(F.col("edited")).alias("edited_fingerprint"),
+        encoded(F.col("own")).alias("fingerprint"),
+        encoded(F.col("edited")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("edited")).alias("near_edited"),
         likeness(F.col("own"), F.col("following")).alias("near_next"),
     )
