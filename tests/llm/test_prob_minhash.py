@@ -80,6 +80,13 @@ def test_matches_brute_force(spark, monkeypatch, seed, block):
     assert {r.doc_id: r.class_id for r in rows} == brute_classes(docs, 0.8)
 
 
+def test_registered_bands_match_all_pairs(spark):
+    """At the bands of the query, a pair at the threshold is missed once in 20,000 times."""
+    docs = corpus(random.Random(7))
+    rows = near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: r.class_id for r in rows} == brute_classes(docs, 0.8)
+
+
 def test_weighted_copies_across_blocks(spark, monkeypatch):
     """Without any turn, the blocks alone must find all components; sums over shares must not lose weighted texts."""
     monkeypatch.setattr(prob_minhash, "BLOCK", 5)

@@ -204,17 +204,27 @@ def _links_between(docs: np.ndarray, component: np.ndarray, side: np.ndarray, co
 def _across(placed: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """Links between texts that buckets connect and whose components differ: (a, b), one for two components in a block.
 
-    Texts that buckets connect are dealt into blocks, and every two blocks meet in a task, which gives
-    back links only. Its size is that of two blocks, however many texts are connected.
+    Texts that buckets connect are dealt into blocks, and two blocks meet in a task, which gives back
+    links only. Its size is that of two blocks, however many texts are connected. The texts of a crowd's largest
+    component have blocks of their own, which meet only those of the other texts: within it all are linked already.
     """
     centres = placed.groupBy("bucket").agg(F.min("doc").alias("b"))
     edges = placed.join(splittable(centres, "bucket"), "bucket").select(F.col("doc").alias("a"), "b")
     groups = connected_components(edges).select(F.col("node").alias("doc"), F.col("component").alias("crowd"))
     members = stored(placed.select("doc", "component").distinct().join(groups, "doc"))
-    sizes = members.groupBy("crowd").agg((F.floor(F.count("*") / BLOCK) + 1).alias("blocks"))
-    dealt = members.join(splittable(sizes, "crowd"), "crowd").withColumn("side", F.pmod(F.xxhash64("doc"), "blocks"))
-    dealt = dealt.join(texts.withColumnRenamed("doc_id", "doc"), "doc")
-    met = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    counts = members.groupBy("crowd", "component").agg(F.count("*").alias("n"))
+    sizes = counts.groupBy("crowd").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("n")).select(
+        "crowd",
+        F.col("main.component").alias("main"),
+        (F.floor(F.col("main.n") / BLOCK) + 1).alias("main_blocks"),
+        (F.floor((F.col("n") - F.col("main.n")) / BLOCK) + 1).alias("blocks"),
+    )
+    dealt = members.join(splittable(sizes, "crowd"), "crowd")
+    own, spread = F.col("component") == F.col("main"), F.xxhash64("doc")
+    dealt = dealt.withColumn("side", F.when(own, F.col("blocks") + F.pmod(spread, "main_blocks")).otherwise(F.pmod(spread, "blocks")))
+    dealt = dealt.withColumn("last", F.col("blocks") - 1 + F.when(own, 0).otherwise(F.col("main_blocks")))
+    met = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last"))))
+    met = met.join(texts.withColumnRenamed("doc_id", "doc"), "doc")
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
