@@ -315,15 +315,17 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next), one row for each row of
     ``docs``; see ``edited_pairs`` for nulls and repeated rows. Other columns are ignored.
     """
-    sketches = edited_pairs(docs).select(
-        "doc_id", "n_chars", "edited_sha256", *[sketch(F.col(name)).alias(name) for name in ("own", "edited", "following")]
-    )
-    return sketches.select(
+    # One expression serves all texts, and one both comparisons: the plan stays small.
+    texts = F.array("own", "edited", "following")
+    sketches = edited_pairs(docs).select("doc_id", "n_chars", "edited_sha256", F.transform(texts, sketch).alias("s"))
+    at = lambda i: F.get("s", F.lit(i))
+    pairs = F.array(*[F.struct(at(0).alias("a"), at(i).alias("b")) for i in (1, 2)])
+    near = sketches.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
-        encoded(F.col("own")).alias("fingerprint"),
-        encoded(F.col("edited")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("edited")).alias("near_edited"),
-        likeness(F.col("own"), F.col("following")).alias("near_next"),
+        F.transform(F.array(at(0), at(1)), encoded).alias("f"),
+        F.transform(pairs, lambda x: likeness(x["a"], x["b"])).alias("near"),
     )
+    names = {"fingerprint": ("f", 0), "edited_fingerprint": ("f", 1), "near_edited": ("near", 0), "near_next": ("near", 1)}
+    return near.select("doc_id", "n_chars", "edited_sha256", *[F.get(c, F.lit(i)).alias(name) for name, (c, i) in names.items()])
