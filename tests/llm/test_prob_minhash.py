@@ -2,6 +2,8 @@
 
 import random
 from collections import Counter
+from pathlib import Path
+from urllib.parse import urlsplit
 
 import numpy as np
 import pytest
@@ -9,6 +11,7 @@ import pytest
 from weftline.llm import prob_minhash
 from weftline.llm.components import connected_components
 from weftline.llm.prob_minhash import near_duplicates, probability_jaccard, signatures
+from weftline.llm.spill import shared_folder
 
 
 def brute_similarity(a, b):
@@ -110,3 +113,27 @@ def test_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (103, 101)], "a bigint, b bigint")
     rows = connected_components(links).collect()
     assert {r.node: r.component for r in rows} == {**{i: 0 for i in range(41)}, **{i: 100 for i in (100, 101, 103)}}
+
+
+def test_rounds_leave_no_table_and_no_growing_estimate(spark):
+    folder = Path(urlsplit(shared_folder(spark)).path)
+    before = set(folder.glob("table-*"))
+    links = spark.range(1500).selectExpr("id AS a", "id + 1 AS b")
+    found = connected_components(links)
+    assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 30
+    assert [tuple(r) for r in found.groupBy("component").count().collect()] == [(0, 1501)]
+    assert set(folder.glob("table-*")) == before
+
+
+def test_registered_bands_against_all_pairs(spark):
+    rng = random.Random(23)
+    docs = []
+    for group in range(12):
+        base = [f"g{group}w{rng.randrange(60)}" for _ in range(120)]
+        for _ in range(8):
+            words = list(base)
+            for _ in range(rng.randint(0, 8)):
+                words[rng.randrange(len(words))] = f"n{rng.randrange(10**6)}"
+            docs.append((len(docs), " ".join(words)))
+    rows = near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: r.class_id for r in rows} == brute_classes(docs, 0.8)

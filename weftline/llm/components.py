@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.spill import splittable, stored
+from weftline.llm.spill import delete, new_table, splittable, stored, written
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -13,10 +13,13 @@ def connected_components(links: DataFrame) -> DataFrame:
 
     ``links`` has the columns a and b. Nodes without a link are left out. Each round points every
     node's larger neighbours, then its smaller ones, at the smallest node it knows, until
-    nothing changes; the rounds grow with the logarithm of a component's diameter.
+    nothing changes; the rounds grow with the logarithm of a component's diameter. A round's table goes
+    once the next one's is written.
     """
-    edges = stored(
-        links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    spark = links.sparkSession
+    folder = new_table(spark)
+    edges = written(
+        links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), folder
     )
     before = None
     while True:
@@ -31,10 +34,14 @@ def connected_components(links: DataFrame) -> DataFrame:
             .filter("a <> b")
             .distinct()
         )
-        edges = stored(small)
+        last, folder = folder, new_table(spark)
+        edges = written(small, folder)
+        delete(spark, last)
         after = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if after == before:
             break
         before = after
     roots = edges.select(F.col("b").alias("a"), "b").distinct()
-    return edges.unionByName(roots).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
+    found = stored(edges.unionByName(roots).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")))
+    delete(spark, folder)
+    return found

@@ -279,7 +279,7 @@ def near_duplicates(
         if turn and found.isEmpty():
             continue
         links = found if links is None else links.unionByName(found)
-        components = stored(connected_components(links))
+        components = connected_components(links)
         if turn == TURNS:
             break
         joined = crowd.join(components, F.col("doc") == F.col("node"), "left")

@@ -40,13 +40,28 @@ def stored(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
-def written(frame: DataFrame) -> DataFrame:
-    """As ``stored``, as a compressed table: for many narrow rows."""
-    folder = f"{shared_folder(frame.sparkSession).rstrip('/')}/table-{uuid4().hex}"
+def written(frame: DataFrame, folder: str | None = None) -> DataFrame:
+    """As ``stored``, as a compressed table, in ``folder`` if one is named: for many narrow rows, and for rounds.
+
+    A checkpoint hands on the size that its plan was estimated at. Over rounds of joins each estimate is a product of the last
+    ones, a number with four times the digits each round, until the driver has no room for it. A table has its own size.
+    """
+    folder = folder or new_table(frame.sparkSession)
     frame.write.parquet(folder)
     return frame.sparkSession.read.schema(frame.schema).parquet(folder)
 
 
+def new_table(spark: SparkSession) -> str:
+    """The name of a new folder for a table."""
+    return f"{shared_folder(spark).rstrip('/')}/table-{uuid4().hex}"
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of this library in whatever store Spark keeps it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def splittable(grouped: DataFrame, key: str) -> DataFrame:
     """``grouped``, the result of a grouping by the integer ``key``, to be joined on it to rows with hot keys.
 
