@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from weftline.llm import prob_minhash
-from weftline.llm.components import connected_components
+from weftline.llm.components import connected_components, merged_components
 from weftline.llm.prob_minhash import near_duplicates, probability_jaccard, signatures
 from weftline.llm.spill import shared_folder
 
@@ -118,10 +118,10 @@ def test_long_chain(spark):
 def test_rounds_leave_no_table_and_no_growing_estimate(spark):
     folder = Path(urlsplit(shared_folder(spark)).path)
     before = set(folder.glob("table-*"))
-    links = spark.range(1500).selectExpr("id AS a", "id + 1 AS b")
+    links = spark.range(200).selectExpr("id AS a", "id + 1 AS b")
     found = connected_components(links)
     assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 30
-    assert [tuple(r) for r in found.groupBy("component").count().collect()] == [(0, 1501)]
+    assert [tuple(r) for r in found.groupBy("component").count().collect()] == [(0, 201)]
     assert set(folder.glob("table-*")) == before
 
 
@@ -137,3 +137,17 @@ def test_registered_bands_against_all_pairs(spark):
             docs.append((len(docs), " ".join(words)))
     rows = near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
     assert {r.doc_id: r.class_id for r in rows} == brute_classes(docs, 0.8)
+
+
+def test_links_merge_known_components(spark):
+    rng = random.Random(4)
+    schema = "a bigint, b bigint"
+    first, more = ([(rng.randrange(90), rng.randrange(90)) for _ in range(30)] for _ in range(2))
+    merged = merged_components(connected_components(spark.createDataFrame(first, schema)), spark.createDataFrame(more, schema))
+    whole = connected_components(spark.createDataFrame(first + more, schema))
+    rows = {r.node: r.component for r in merged.collect()}
+    assert rows == {r.node: r.component for r in whole.collect()}
+    assert all(rows[a] == rows[b] for a, b in first + more if a != b)
+    assert merged.count() == len(rows)
+    none = spark.createDataFrame([], schema)
+    assert merged_components(connected_components(none), none).collect() == []

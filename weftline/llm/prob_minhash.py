@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.components import connected_components
+from weftline.llm.components import connected_components, merged_components
 from weftline.llm.spill import splittable, stored
 from weftline.llm.textarrays import chunks, mix, shingle_hashes, text_bytes, word_hashes
 
@@ -269,7 +269,7 @@ def near_duplicates(
     texts = stored(plain.join(crowd.select(F.col("doc").alias("doc_id")).distinct(), "doc_id"))
 
     placed = crowd.withColumn("component", F.col("doc"))
-    links = components = None
+    components = None
     for turn in range(TURNS + 1):
         if turn < TURNS:
             found = verified(_star(placed, turn), texts, words, similarity).select("a", "b")
@@ -278,8 +278,7 @@ def near_duplicates(
         found = stored(found)
         if turn and found.isEmpty():
             continue
-        links = found if links is None else links.unionByName(found)
-        components = connected_components(links)
+        components = merged_components(components, found) if turn else connected_components(found)
         if turn == TURNS:
             break
         joined = crowd.join(components, F.col("doc") == F.col("node"), "left")
