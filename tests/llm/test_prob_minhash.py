@@ -125,20 +125,6 @@ def test_rounds_leave_no_table_and_no_growing_estimate(spark):
     assert set(folder.glob("table-*")) == before
 
 
-def test_registered_bands_against_all_pairs(spark):
-    rng = random.Random(23)
-    docs = []
-    for group in range(12):
-        base = [f"g{group}w{rng.randrange(60)}" for _ in range(120)]
-        for _ in range(8):
-            words = list(base)
-            for _ in range(rng.randint(0, 8)):
-                words[rng.randrange(len(words))] = f"n{rng.randrange(10**6)}"
-            docs.append((len(docs), " ".join(words)))
-    rows = near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
-    assert {r.doc_id: r.class_id for r in rows} == brute_classes(docs, 0.8)
-
-
 def test_links_merge_known_components(spark):
     rng = random.Random(4)
     schema = "a bigint, b bigint"
