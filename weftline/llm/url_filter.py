@@ -22,7 +22,7 @@ SCALE = 1_000_000
 RULES = (
     ("org/", "allow"),
     ("example.org/es/", "block"),
-    ("example.org/en/1", "allow"),
+    ("example.org/en/1", "block"),
     ("com/fr/", "allow"),
     ("com/de/", "block"),
 )
